@@ -1,0 +1,106 @@
+"""Compare every Spark query with its DuckDB oracle on one scale factor.
+
+Usage: python tests/compare.py [sf_dir] [key ...]
+Prints one line per key: rows, schema and an order-insensitive value check.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def duck(sf_dir: str):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TABLES:
+        p = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return round(v, 6)
+    if isinstance(v, dt.datetime):
+        return v.date() if v.time() == dt.time(0) else v
+    if isinstance(v, bool):
+        return int(v)
+    if hasattr(v, "item"):
+        return _norm(v.item())
+    return v
+
+
+def canon(cols: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    out = [tuple(_norm(r[i]) for i in order) for r in rows]
+    return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
+
+
+def compare(spark, sf_dir: str, keys: list[str] | None = None) -> dict[str, dict]:
+    import __spark_entry__ as entry
+
+    qs = entry.queries()
+    sqls = entry.oracle_sql()
+    con = duck(sf_dir)
+    results = {}
+    for key in keys or list(qs):
+        t0 = time.time()
+        rec = {"key": key}
+        try:
+            df = qs[key](spark, sf_dir)
+            srows = [tuple(r) for r in df.collect()]
+            scols = df.columns
+            rec["spark_s"] = round(time.time() - t0, 2)
+            if key not in sqls:
+                rec.update(rows=len(srows), status="no-oracle")
+            else:
+                cur = con.execute(sqls[key])
+                dcols = [d[0] for d in cur.description]
+                drows = cur.fetchall()
+                rec["rows"] = (len(srows), len(drows))
+                rec["cols_match"] = sorted(scols) == sorted(dcols)
+                ok = rec["cols_match"] and canon(scols, srows) == canon(dcols, drows)
+                rec["status"] = "OK" if ok else "MISMATCH"
+                if not ok and rec["cols_match"]:
+                    a, b = canon(scols, srows), canon(dcols, drows)
+                    diff = [x for x in a if x not in set(b)][:3]
+                    diff2 = [x for x in b if x not in set(a)][:3]
+                    rec["spark_only"] = diff
+                    rec["oracle_only"] = diff2
+                elif not rec["cols_match"]:
+                    rec["spark_cols"] = sorted(scols)
+                    rec["oracle_cols"] = sorted(dcols)
+        except Exception as e:  # noqa: BLE001 - report and continue
+            rec["status"] = "ERROR"
+            rec["error"] = f"{type(e).__name__}: {str(e)[:400]}"
+        results[key] = rec
+        print(rec, flush=True)
+    return results
+
+
+if __name__ == "__main__":
+    from ledgerline.session import local_session
+
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    keys = sys.argv[2:] or None
+    spark = local_session(8)
+    res = compare(spark, sf, keys)
+    bad = [k for k, r in res.items() if r["status"] not in ("OK", "no-oracle")]
+    print("SUMMARY", len(res), "queries;", len(bad), "not ok:", bad)
