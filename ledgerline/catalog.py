@@ -35,7 +35,7 @@ class Context:
 
     @cached_property
     def src(self) -> Sources:
-        return testdata_sources(self.spark, self.sf_dir)
+        return testdata_sources(self.spark, self.sf_dir, materialized=True)
 
     @cached_property
     def models(self) -> Models:

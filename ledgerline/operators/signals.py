@@ -117,3 +117,25 @@ def new_account_flag(rules: Rules = Rules()) -> F.Column:
     anchor = F.coalesce(F.col("app_signup_date"), F.col("billing_created_date"))
     return flag(F.col("snapshot_month") <= F.trunc(F.date_add(anchor, rules.new_account_days), "MM"))
 
+
+
+def activity_by_billing_month(app_month: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Usage and adoption of bridged app accounts rolled up to billing account x month
+    in one aggregation, plus the previous month's (unweighted mean) rate.
+
+    Equal to ``usage_by_billing_month`` joined with ``adoption_by_billing_month``:
+    both sum over the same app-month rows, and a user with usage rows in a month is
+    counted in ``total_users`` exactly as in the usage model's ``active_users``.
+    """
+    j = app_month.join(_bridge_keys(bridge), on="app_account_id", how="inner")
+    g = j.groupBy("billing_account_id", "snapshot_month").agg(
+        *[F.sum(c).alias(c) for c in USAGE_SIGNAL_COLUMNS],
+        F.sum("total_users").alias("total_users"),
+        F.sum("active_users").alias("active_users"),
+        F.sum("owner_count").alias("owner_count"),
+        F.avg("active_user_rate").alias("active_user_rate"),
+        F.max("has_any_activity").alias("has_any_activity"),
+        *[F.sum(c).alias(c) for c in DAYS_WITH.values()],
+    )
+    w = Window.partitionBy("billing_account_id").orderBy("snapshot_month")
+    return g.withColumn("prev_month_active_user_rate", F.lag("active_user_rate").over(w))

@@ -17,6 +17,7 @@ from ledgerline.functions.activity import DAYS_WITH, flag
 from ledgerline.functions.dates import as_of_month
 from ledgerline.operators import classify
 from ledgerline.operators.intermediate import (
+    app_month_activity,
     int_account_bridge,
     int_arr_monthly,
     int_usage_monthly,
@@ -26,10 +27,9 @@ from ledgerline.operators.intermediate import (
 from ledgerline.operators.signals import (
     USAGE_SIGNAL_COLUMNS,
     account_apps,
-    adoption_by_billing_month,
+    activity_by_billing_month,
     arr_signals,
     new_account_flag,
-    usage_by_billing_month,
 )
 from ledgerline.operators.staging import Staged, stage
 from ledgerline.rules import Rules, as_date
@@ -118,16 +118,16 @@ def billing_month_signals(m: Models, as_of: dt.date, rules: Rules = Rules()) ->
     """ARR (+ previous month, expansion flags), usage and adoption per (billing, month).
 
     Every spine month comes from the account's ARR rows, so the monthly ARR table
-    is the set of (billing, month) keys; usage and adoption are left-joined to it.
+    is the set of (billing, month) keys; product activity is left-joined to it.
+    Both sides are hash-partitioned by billing account after their windows, so the
+    join on (billing, month) needs no further shuffle.
     """
     arr = arr_signals(m.arr_monthly)
     is_exp = F.col("arr_movement_type") == F.lit("expansion")
     recent = F.col("snapshot_month") >= F.add_months(as_of_month(as_of), -rules.recent_expansion_months)
     arr = arr.withColumns({"had_expansion": flag(is_exp), "expanded_last_3_months": flag(is_exp & recent)})
-    usage = usage_by_billing_month(m.usage_monthly, m.bridge).withColumnRenamed("active_users", "usage_active_users")
-    adoption = adoption_by_billing_month(m.adoption_monthly, m.bridge)
-    keys = ["billing_account_id", "snapshot_month"]
-    return arr.join(usage, on=keys, how="left").join(adoption, on=keys, how="left")
+    activity = activity_by_billing_month(app_month_activity(m.user_month, m.staged.app_users), m.bridge)
+    return arr.join(activity, on=["billing_account_id", "snapshot_month"], how="left")
 
 
 def segment_scores(m: Models, as_of: dt.date | str, rules: Rules = Rules()) -> DataFrame:

@@ -165,15 +165,42 @@ def arr_daily(orders: DataFrame) -> DataFrame:
     )
 
 
-def testdata_sources(spark: SparkSession, sf_dir: str) -> Sources:
+def _inputs_key(sf_dir: str) -> str:
+    """Identity of the input tables: path, size and modification time of each file."""
+    import os
+
+    parts = [sf_dir]
+    for name in ("customer", "orders", "lineitem"):
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        try:
+            st = os.stat(path)
+            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
+        except OSError:  # remote storage: the path alone identifies it
+            parts.append(name)
+    return "|".join(parts)
+
+
+def testdata_sources(spark: SparkSession, sf_dir: str, materialized: bool = False) -> Sources:
+    """The five sources derived from the driver's tables.
+
+    With ``materialized=True`` each derived table is written once to the shared
+    checkpoint folder and read back, so every query downstream starts from five
+    source tables, as it would from the production files.
+    """
     customer = _read(spark, sf_dir, "customer")
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
     cust = _customers_with_d0(customer, orders)
-    return Sources(
-        billing_accounts=billing_accounts(cust),
-        app_accounts=app_accounts(cust),
-        app_users=app_users(customer, orders, lineitem),
-        app_usage_daily=app_usage_daily(orders, lineitem),
-        arr_daily=arr_daily(orders),
-    )
+    frames = {
+        "billing_accounts": billing_accounts(cust),
+        "app_accounts": app_accounts(cust),
+        "app_users": app_users(customer, orders, lineitem),
+        "app_usage_daily": app_usage_daily(orders, lineitem),
+        "arr_daily": arr_daily(orders),
+    }
+    if materialized:
+        from ledgerline.session import materialize
+
+        key = _inputs_key(sf_dir)
+        frames = {name: materialize(df, f"src-{name}", key) for name, df in frames.items()}
+    return Sources(**frames)
