@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import datetime as dt
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from pyspark.sql import types as T  # noqa: E402
+
+from ledgerline.schemas import source_schemas  # noqa: E402
+from ledgerline.sources.files import Sources  # noqa: E402
+
+D = dt.date
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from ledgerline.session import local_session
+
+    s = local_session(4, shuffle_partitions=4, app_name="ledgerline-tests")
+    yield s
+    s.stop()
+
+
+def usage_row(day: dt.date, user, **counts):
+    """A usage row with all nine counters 0 unless given (None is kept as NULL)."""
+    from ledgerline.functions.activity import COUNTERS
+
+    return (day, user, *[counts.get(c, 0) for c in COUNTERS])
+
+
+def make_sources(spark, billing=(), apps=(), users=(), usage=(), arr=()) -> Sources:
+    """Small source tables with the production schemas (BIGINT ids)."""
+    schemas = source_schemas(T.LongType())
+    return Sources(
+        billing_accounts=spark.createDataFrame(list(billing), schemas["billing_accounts"]),
+        app_accounts=spark.createDataFrame(list(apps), schemas["app_accounts"]),
+        app_users=spark.createDataFrame(list(users), schemas["app_users"]),
+        app_usage_daily=spark.createDataFrame(list(usage), schemas["app_usage_daily"]),
+        arr_daily=spark.createDataFrame(list(arr), schemas["arr_daily"]),
+    )
+
+
+def billing(bid, bridge=None, segment="Small", created=D(2023, 1, 1), name=None):
+    return (bid, name or f"B{bid}", bridge, segment, created)
+
+
+def app(aid, bridge, signup=D(2023, 1, 1), internal=False):
+    return (aid, f"A{aid}", None, aid, bridge, signup, None, internal)
+
+
+def user(uid, aid, owner=False, internal=False, tiers='["pro"]'):
+    return (uid, f"U{uid}", aid, tiers, None, owner, internal)
+
+
+def arr_row(day, bid, start, end):
+    return (day, bid, None if start is None else float(start), None if end is None else float(end))

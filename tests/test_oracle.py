@@ -1,0 +1,46 @@
+"""Every registered query equals its SQL oracle (DuckDB) on the driver's smallest tables."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as entry
+from tests.compare import canon, duck
+
+SF = "/root/testdata/sf0.001"
+KEYS = list(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF)
+
+
+def test_every_query_has_an_oracle():
+    assert set(entry.oracle_sql()) == set(entry.queries())
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_query_matches_oracle(spark, con, key):
+    df = entry.queries()[key](spark, SF)
+    rows = [tuple(r) for r in df.collect()]
+    cur = con.execute(entry.oracle_sql()[key])
+    ocols = [d[0] for d in cur.description]
+    orows = cur.fetchall()
+    assert sorted(df.columns) == sorted(ocols)
+    assert canon(df.columns, rows) == canon(ocols, orows)
+
+
+def test_entry_smoke(spark):
+    df = entry.entry(spark)
+    assert df.columns == [
+        "snapshot_month",
+        "billing_account_id",
+        "billing_account_name",
+        "customer_segment",
+        "lifecycle_segment",
+        "is_expansion_ready",
+        "recommended_action",
+        "reason_code",
+    ]
+    assert df.count() > 0

@@ -1,0 +1,96 @@
+"""Invariants of the reports on the driver's tables, and the shape of the physical plans."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline import catalog
+from ledgerline.operators import classify
+from ledgerline.plans import reports
+from ledgerline.plans.mart import build_models, lifecycle_mart
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def ctx(spark):
+    return catalog.Context(spark, SF)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mart_counts_match_fixture_notes(ctx):
+    """Row counts and label distributions recorded for this mapping (FIXTURES.md §3)."""
+    mart = ctx.mart
+    assert mart.count() == 15464
+    seg = {r[0]: r[1] for r in mart.groupBy("lifecycle_segment").count().collect()}
+    assert seg == {"at_risk": 11355, "healthy": 2076, "new": 1860, "under_adopted": 173}
+    assert mart.where("is_expansion_ready = 1").count() == 2121
+    assert mart.where("expanded_last_3_months = 1").count() == 280
+    assert mart.where("arr_movement_type = 'churned' AND active_user_rate >= 0.8").count() == 158
+
+
+def test_segments_add_up_to_overall(ctx):
+    s = reports.leadership_summary(ctx.mart)
+    parts = s.where(F.col("customer_segment") != "overall").groupBy("period_name").agg(
+        F.sum("total_accounts").alias("a"), F.sum("ending_arr").alias("e"), F.sum("healthy").alias("h")
+    )
+    overall = s.where(F.col("customer_segment") == "overall").select(
+        "period_name", F.col("total_accounts").alias("a"), F.col("ending_arr").alias("e"), F.col("healthy").alias("h")
+    )
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, overall.collect()))
+
+
+def test_retained_inactive_rows_are_all_zero(ctx):
+    r = reports.retention_analysis(ctx.mart, ctx.as_of).where(F.col("retention_status") == "retained_inactive")
+    rows = r.collect()
+    assert rows
+    for row in rows:
+        assert row["avg_total_activity"] == 0.0 and row["avg_meetings"] == 0.0 and row["avg_active_user_rate"] == 0.0
+
+
+def test_label_domains(ctx):
+    got = {}
+    for r in reports.label_domains(ctx.mart).collect():
+        got.setdefault(r["label_name"], set()).add(r["label_value"])
+    assert got["lifecycle_segment"] <= set(classify.LIFECYCLE_SEGMENTS)
+    assert got["reason_code"] <= set(classify.REASON_CODES)
+    assert got["recommended_action"] <= set(classify.RECOMMENDED_ACTIONS)
+    assert got["is_expansion_ready"] == {"0", "1"}
+
+
+def test_no_cartesian_products(spark, ctx):
+    for name, fn in catalog.QUERIES.items():
+        plan = fn(ctx)._jdf.queryExecution().sparkPlan().toString()
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_adoption_and_mart_plan_without_expand(ctx):
+    for df in (ctx.models.adoption_monthly, lifecycle_mart(build_models(ctx.src), ctx.as_of)):
+        assert "Expand" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_usage_is_aggregated_once_in_the_mart(ctx):
+    """Usage and adoption signals share one user-month aggregation and one join."""
+    plan = lifecycle_mart(build_models(ctx.src), ctx.as_of)._jdf.queryExecution().sparkPlan().toString()
+    usage_scans = [line for line in plan.splitlines() if "FileScan" in line and "task_synced_count" in line]
+    assert len(usage_scans) == 1
+
+
+def test_reports_prune_mart_columns_and_partitions(ctx):
+    """Reports read only the columns they use; look-back filters prune month folders."""
+    plan = reports.retention_analysis(ctx.mart, ctx.as_of)._jdf.queryExecution().sparkPlan().toString()
+    assert "recommended_action" not in plan
+    pf = reports.retained_activity(ctx.mart, ctx.as_of)
+    assert "PartitionFilters" in pf._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_leadership_reads_the_mart_twice_at_most(ctx):
+    """One scan for the latest month (a scalar sub-query), one for the period rows;
+    the SQL form unions six filtered copies of the mart."""
+    plan = reports.leadership_summary(ctx.mart)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") <= 2
