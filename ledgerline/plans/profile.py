@@ -63,13 +63,19 @@ def arr_movement_counts(arr_monthly: DataFrame) -> DataFrame:
 
 
 def arr_profile(src: Sources) -> DataFrame:
-    """Range of daily ending ARR and how many accounts ever sit at zero."""
-    a = src.arr_daily
-    return a.agg(
-        F.min("ending_arr").alias("min_ending_arr"),
-        F.max("ending_arr").alias("max_ending_arr"),
-        F.countDistinct(F.when(F.col("ending_arr") == 0, F.col("billing_account_id"))).alias("accounts_with_zero_arr"),
-        F.countDistinct("billing_account_id").alias("total_accounts"),
+    """Range of daily ending ARR and how many accounts ever sit at zero. Per-account
+    partials first, so the distinct account counts need no Expand over daily rows."""
+    per_account = src.arr_daily.groupBy("billing_account_id").agg(
+        F.min("ending_arr").alias("lo"),
+        F.max("ending_arr").alias("hi"),
+        F.max(flag(F.col("ending_arr") == 0)).alias("has_zero"),
+    )
+    known = F.col("billing_account_id").isNotNull()
+    return per_account.agg(
+        F.min("lo").alias("min_ending_arr"),
+        F.max("hi").alias("max_ending_arr"),
+        F.count_if(known & (F.col("has_zero") == 1)).alias("accounts_with_zero_arr"),
+        F.count("billing_account_id").alias("total_accounts"),
     )
 
 
@@ -222,12 +228,19 @@ def seat_tier_top10(src: Sources) -> DataFrame:
 
 
 def arr_overview(src: Sources) -> DataFrame:
-    a = src.arr_daily
-    return a.agg(
-        F.min("date").alias("earliest"),
-        F.max("date").alias("latest"),
-        F.countDistinct("billing_account_id").alias("accounts"),
-        round_half_away(F.avg("ending_arr"), 2).alias("avg_arr"),
+    """Date range, accounts and mean ending ARR of the daily ARR rows (two levels:
+    per account, then global)."""
+    per_account = src.arr_daily.groupBy("billing_account_id").agg(
+        F.min("date").alias("lo"),
+        F.max("date").alias("hi"),
+        F.sum("ending_arr").alias("arr_sum"),
+        F.count("ending_arr").alias("arr_n"),
+    )
+    return per_account.agg(
+        F.min("lo").alias("earliest"),
+        F.max("hi").alias("latest"),
+        F.count("billing_account_id").alias("accounts"),
+        round_half_away(F.sum("arr_sum") / F.sum("arr_n"), 2).alias("avg_arr"),
     )
 
 

@@ -55,6 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """True when a finished write (its ``_SUCCESS`` marker) exists at ``path`` on the
+    shared file system."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(marker))
+
+
 def materialize(
     df: DataFrame,
     name: str,
@@ -76,6 +85,8 @@ def materialize(
     digest = hashlib.sha1(key.encode()).hexdigest()[:16]
     path = f"{base.rstrip('/')}/ledgerline/{name}-{digest}"
     cache_key = (base, path)
+    if cache_key not in _WRITTEN and _complete(spark, path):
+        _WRITTEN[cache_key] = path
     if cache_key not in _WRITTEN:
         out = df
         if partition_by:
