@@ -63,7 +63,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    shuffle_partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, int(cpus) * 2))))
+    # one shuffle partition per core at this data size (AQE coalesces further)
+    shuffle_partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(int(cpus))))
 
     from ledgerline import catalog
     from ledgerline.plans.mart import build_models, lifecycle_mart

@@ -9,8 +9,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on: UTC dates, AQE with skew handling, no UI.
+# Broadcasts only on *measured* sizes: planning-time estimates are off (disabled), and
+# AQE turns a shuffle join into a broadcast once a side's shuffle output is known to be
+# under the adaptive threshold.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
