@@ -62,6 +62,14 @@ def _arr_signals(c: Context) -> DataFrame:
     return sig.arr_signals(c.models.arr_monthly)
 
 
+TRAILING = Rules(trailing_expansion=True)
+
+
+def _trailing(c: Context) -> Context:
+    """The same tables with the trailing-expansion option (its own written mart)."""
+    return Context(c.spark, c.sf_dir, c.as_of, TRAILING)
+
+
 QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     # staging
     "stg_billing_accounts": lambda c: c.st.billing_accounts,
@@ -102,6 +110,12 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "leadership_summary": lambda c: reports.leadership_summary(c.mart),
     "lifecycle_breakdown": lambda c: reports.lifecycle_breakdown(c.mart),
     "label_domains": lambda c: reports.label_domains(c.mart),
+    # options off by default, described in the metric notes (each has its own oracle)
+    "expansion_signals_trailing": lambda c: sig.expansion_signals(c.models.arr_monthly, c.as_of, TRAILING),
+    "account_lifecycle_signals_trailing": lambda c: reports.account_lifecycle_signals(_trailing(c).mart),
+    "leadership_summary_rolling_quarter": lambda c: reports.leadership_summary(c.mart, rolling_last_quarter=True),
+    "leadership_summary_dedup": lambda c: reports.leadership_summary(c.mart, dedup_app_rows=True),
+    "leadership_summary_period_end_arr": lambda c: reports.leadership_summary(c.mart, period_end_arr=True),
     # data quality
     "dq_unmatched_billing": lambda c: quality.dq_unmatched_billing(c.st),
     "dq_duplicate_bridge": lambda c: quality.dq_duplicate_bridge(c.models.bridge),

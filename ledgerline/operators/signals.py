@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.activity import DAYS_WITH, flag
-from ledgerline.functions.dates import as_of_month, month_start
+from ledgerline.functions.dates import as_of_month, month_index, month_start
 from ledgerline.rules import Rules
 
 # Monthly usage totals in the order the billing roll-up emits them.
@@ -41,17 +41,34 @@ def arr_signals(arr_monthly: DataFrame) -> DataFrame:
     )
 
 
-def expansion_signals(arr_monthly: DataFrame, as_of: dt.date, rules: Rules = Rules()) -> DataFrame:
-    """Per (account, month): expansion this month, and expansion this month when the
-    month lies within the recent window before the ``as_of`` month. One row per group,
-    so these are row flags (no aggregation or shuffle)."""
+def expansion_flags(arr_monthly: DataFrame, as_of: dt.date, rules: Rules = Rules()) -> dict[str, F.Column]:
+    """``had_expansion`` and ``expanded_last_3_months`` as columns over monthly ARR rows.
+
+    Default (the SQL): this month's movement is an expansion and the month lies within
+    the recent window before the ``as_of`` month. With ``rules.trailing_expansion``: any
+    expansion in the N calendar months before this month (a range frame over the month
+    index, per account, so the window partition is one account's months)."""
     is_exp = F.col("arr_movement_type") == F.lit("expansion")
-    recent = F.col("snapshot_month") >= F.add_months(as_of_month(as_of), -rules.recent_expansion_months)
+    had = flag(is_exp)
+    if rules.trailing_expansion:
+        n = rules.recent_expansion_months
+        w = Window.partitionBy("billing_account_id").orderBy(month_index("snapshot_month")).rangeBetween(-n, -1)
+        recent = F.coalesce(F.max(had).over(w), F.lit(0))
+    else:
+        in_window = F.col("snapshot_month") >= F.add_months(as_of_month(as_of), -rules.recent_expansion_months)
+        recent = flag(is_exp & in_window)
+    return {"had_expansion": had, "expanded_last_3_months": recent}
+
+
+def expansion_signals(arr_monthly: DataFrame, as_of: dt.date, rules: Rules = Rules()) -> DataFrame:
+    """Per (account, month) expansion flags. With the default rule each group has one
+    row, so these are row flags (no aggregation or shuffle)."""
+    flags = expansion_flags(arr_monthly, as_of, rules)
     return arr_monthly.select(
         "billing_account_id",
         "snapshot_month",
-        flag(is_exp).alias("had_expansion"),
-        flag(is_exp & recent).alias("expanded_last_3_months"),
+        flags["had_expansion"].alias("had_expansion"),
+        flags["expanded_last_3_months"].alias("expanded_last_3_months"),
     )
 
 

@@ -13,8 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.activity import DAYS_WITH, flag
-from ledgerline.functions.dates import as_of_month
+from ledgerline.functions.activity import DAYS_WITH
 from ledgerline.operators import classify
 from ledgerline.operators.intermediate import (
     app_month_activity,
@@ -29,6 +28,7 @@ from ledgerline.operators.signals import (
     account_apps,
     activity_by_billing_month,
     arr_signals,
+    expansion_flags,
     new_account_flag,
 )
 from ledgerline.operators.staging import Staged, stage
@@ -123,9 +123,7 @@ def billing_month_signals(m: Models, as_of: dt.date, rules: Rules = Rules()) ->
     join on (billing, month) needs no further shuffle.
     """
     arr = arr_signals(m.arr_monthly)
-    is_exp = F.col("arr_movement_type") == F.lit("expansion")
-    recent = F.col("snapshot_month") >= F.add_months(as_of_month(as_of), -rules.recent_expansion_months)
-    arr = arr.withColumns({"had_expansion": flag(is_exp), "expanded_last_3_months": flag(is_exp & recent)})
+    arr = arr.withColumns(expansion_flags(arr, as_of, rules))
     activity = activity_by_billing_month(app_month_activity(m.user_month, m.staged.app_users), m.bridge)
     return arr.join(activity, on=["billing_account_id", "snapshot_month"], how="left")
 

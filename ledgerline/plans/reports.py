@@ -200,11 +200,15 @@ def product_insights_monthly(mart: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- leadership (Q7)
 
 
-def period_rows(mart: DataFrame) -> DataFrame:
+def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFrame:
     """Mart rows labelled with every leadership period they fall in (a row may be in
     several). The latest month is a scalar sub-query, computed once; quarter and year
-    periods are cut to the months elapsed in the latest quarter / year. "Last quarter"
-    is quarter - 1 of the same year, so it is empty when the latest month is in Q1."""
+    periods are cut to the months elapsed in the latest quarter / year.
+
+    "Last quarter" is quarter - 1 of the same year, as in the SQL, so it is empty when the
+    latest month is in Q1; ``rolling_last_quarter=True`` takes the calendar quarter three
+    months back instead (crossing the year boundary), as the report notes describe.
+    """
     last = mart.agg(F.max("snapshot_month")).scalar()
     m = F.col("snapshot_month")
     months_into_quarter = months_into_period(last, "QUARTER") + 1
@@ -212,11 +216,15 @@ def period_rows(mart: DataFrame) -> DataFrame:
     same_year = F.year(m) == F.year(last)
     in_q_window = months_into_period(m, "QUARTER") < months_into_quarter
     in_y_window = months_into_period(m, "YEAR") < months_into_year
+    if rolling_last_quarter:
+        last_quarter = (F.trunc(m, "QUARTER") == F.trunc(F.add_months(last, -3), "QUARTER")) & in_q_window
+    else:
+        last_quarter = same_year & (F.quarter(m) == F.quarter(last) - 1) & in_q_window
     period_flags = {
         "this_month": m == last,
         "last_month": m == F.add_months(last, -1),
         "this_quarter": same_year & (F.quarter(m) == F.quarter(last)) & in_q_window,
-        "last_quarter": same_year & (F.quarter(m) == F.quarter(last) - 1) & in_q_window,
+        "last_quarter": last_quarter,
         "this_year": same_year & in_y_window,
         "last_year": (F.year(m) == F.year(last) - 1) & in_y_window,
     }
@@ -238,28 +246,66 @@ def period_rows(mart: DataFrame) -> DataFrame:
     return recent.select(F.explode(names).alias("period_name"), *cols)
 
 
-def leadership_summary(mart: DataFrame) -> DataFrame:
+_BILLING_MEASURES = ("ending_arr", "arr_change", "active_users", "total_activity", "total_meetings")
+
+
+def leadership_summary(
+    mart: DataFrame,
+    rolling_last_quarter: bool = False,
+    dedup_app_rows: bool = False,
+    period_end_arr: bool = False,
+) -> DataFrame:
     """Q7: per period and segment, plus an ``overall`` row per period.
 
     Level 1 collapses rows to (period, segment, account) with sums and max flags, so
     the distinct account counts become plain sums; level 2 computes both groupings
     in one pass with GROUPING SETS. ``overall`` comes from ``grouping()``, so a real
     NULL segment stays its own group.
+
+    Options (off by default, the SQL's semantics): ``dedup_app_rows`` counts the
+    billing-level measures once per account-month instead of once per app row;
+    ``period_end_arr`` reports each account's ending ARR of its last month in the
+    period (a balance) instead of the sum over months.
     """
-    rows = period_rows(mart)
+    rows = period_rows(mart, rolling_last_quarter)
     seg = F.col("lifecycle_segment")
-    per_account = rows.groupBy("period_name", "customer_segment", "billing_account_id").agg(
-        F.sum("ending_arr").alias("ending_arr"),
-        F.sum("arr_change").alias("arr_change"),
-        F.sum("active_users").alias("active_users"),
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum("total_activity").alias("total_activity"),
-        F.sum("total_meetings").alias("total_meetings"),
+    label_flags = [
         F.max(flag(seg == F.lit("healthy"))).alias("healthy"),
         F.max(flag(seg == F.lit("at_risk"))).alias("at_risk"),
         F.max(flag(seg == F.lit("under_adopted"))).alias("under_adopted"),
         F.max(flag(F.col("is_expansion_ready") == 1)).alias("expansion_ready"),
-    )
+    ]
+    keys = ["period_name", "customer_segment", "billing_account_id"]
+    if dedup_app_rows or period_end_arr:
+        # billing-level measures repeat on every app row of an account-month: keep one
+        per_month = rows.groupBy(*keys, "snapshot_month").agg(
+            *[F.max(c).alias(c) for c in _BILLING_MEASURES],
+            F.count(F.lit(1)).alias("app_rows"),
+            *[F.max(flag(seg == F.lit(v))).alias(v) for v in ("healthy", "at_risk", "under_adopted")],
+            F.max(flag(F.col("is_expansion_ready") == 1)).alias("expansion_ready"),
+        )
+        weight = F.lit(1) if dedup_app_rows else F.col("app_rows")
+        per_account = per_month.groupBy(*keys).agg(
+            (F.max_by("ending_arr", "snapshot_month") if period_end_arr else F.sum(F.col("ending_arr") * weight)).alias(
+                "ending_arr"
+            ),
+            F.sum(F.col("arr_change") * weight).alias("arr_change"),
+            F.sum(F.col("active_users") * weight).alias("active_users"),
+            F.sum(weight).alias("row_count"),
+            F.sum(F.col("total_activity") * weight).alias("total_activity"),
+            F.sum(F.col("total_meetings") * weight).alias("total_meetings"),
+            *[F.max(v).alias(v) for v in ("healthy", "at_risk", "under_adopted", "expansion_ready")],
+        )
+    else:
+        per_account = rows.groupBy(*keys).agg(
+            F.sum("ending_arr").alias("ending_arr"),
+            F.sum("arr_change").alias("arr_change"),
+            F.sum("active_users").alias("active_users"),
+            F.count(F.lit(1)).alias("row_count"),
+            F.sum("total_activity").alias("total_activity"),
+            F.sum("total_meetings").alias("total_meetings"),
+            *label_flags,
+        )
     summary = per_account.groupingSets(
         [["period_name", "customer_segment"], ["period_name"]], "period_name", "customer_segment"
     ).agg(

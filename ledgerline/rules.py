@@ -16,6 +16,10 @@ class Rules:
     recent_expansion_months: int = 3  # expansion counted as recent within this many months of as_of
     lookback_months: int = 3  # retained-activity look-back before the as_of month
     pre_event_months: int = 3  # months before first churn / contraction
+    # Option (off by default): "expanded in the last N months" as any expansion in the N
+    # calendar months before each month, as the metric notes describe, instead of the
+    # SQL's flag on the expansion month itself when that month is recent.
+    trailing_expansion: bool = False
 
 
 def as_date(value: dt.date | str) -> dt.date:

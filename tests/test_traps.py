@@ -80,10 +80,16 @@ def test_null_counter_nulls_row_total_only(spark):
 
 
 def test_rounding_is_on_binary_doubles(spark):
-    """round(x, 2) scales the double first: 1.005 -> 1.0 (T4); exact halves go away from zero."""
-    df = spark.createDataFrame([(1.005,), (0.125,), (-0.125,), (2.675,)], "x double")
+    """round(x, 2) scales the double first: 1.005 -> 1.0 (T4), unlike rounding its
+    decimal text; exact halves go away from zero. Checked against SQL's round."""
+    import duckdb
+
+    values = [1.005, 0.125, -0.125, 2.675, 0.285, 1.115, 0.745, -2.5, 1234.5675]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r[0] for r in df.select(round_half_away(F.col("x"), 2)).collect()]
-    assert got == [1.0, 0.13, -0.13, 2.67]
+    sql = duckdb.sql("SELECT " + ", ".join(f"round({v}::DOUBLE, 2)" for v in values)).fetchall()[0]
+    assert got == list(sql)
+    assert got[0] == 1.0
 
 
 def test_unweighted_rate_and_app_fan_out(spark):
@@ -269,3 +275,49 @@ def test_csv_reader_reads_doubled_quotes(spark, tmp_path):
     row = mart.collect()[0]
     assert (row["billing_account_id"], row["app_account_id"], row["total_activity"]) == ("b1", "a1", 45)
     assert row["arr_movement_type"] == "expansion"
+
+
+def test_trailing_expansion_option(spark):
+    """Opt-in: expansion in any of the three calendar months before the month."""
+    from ledgerline.operators.intermediate import int_arr_monthly
+    from ledgerline.operators.signals import expansion_signals
+    from ledgerline.operators.staging import stg_arr_daily
+    from ledgerline.rules import Rules
+
+    arr = [arr_row(D(2024, 1, 1), 1, 100, 200)] + [arr_row(D(2024, m, 1), 1, 200, 200) for m in (2, 3, 4, 5)]
+    monthly = int_arr_monthly(stg_arr_daily(make_sources(spark, arr=arr).arr_daily))
+    got = {
+        r["snapshot_month"].month: r["expanded_last_3_months"]
+        for r in expansion_signals(monthly, AS_OF, Rules(trailing_expansion=True)).collect()
+    }
+    assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
+    default = {r["snapshot_month"].month: r["expanded_last_3_months"] for r in expansion_signals(monthly, AS_OF).collect()}
+    assert default == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_rolling_last_quarter_option(spark):
+    arr = months(1, D(2023, 9, 1), 5)  # 2023-09 .. 2024-01
+    mart = mart_of(spark, billing=[billing(1, created=D(2020, 1, 1))], arr=arr)
+    lq = {r["snapshot_month"] for r in reports.period_rows(mart, rolling_last_quarter=True).collect()
+          if r["period_name"] == "last_quarter"}
+    assert lq == {D(2023, 10, 1)}  # Q4 of the previous year, cut to one elapsed month
+
+
+def test_dedup_and_period_end_options(spark):
+    mart = mart_of(
+        spark,
+        billing=[billing(1, bridge=1, created=D(2020, 1, 1))],
+        apps=[app(1, 1, signup=D(2020, 1, 1)), app(2, 1, signup=D(2020, 1, 1))],
+        arr=[arr_row(D(2024, m, 1), 1, 100 * m, 100 * m) for m in (1, 2, 3)],
+    )
+
+    def this_year(**kw):
+        return (
+            reports.leadership_summary(mart, **kw)
+            .where((F.col("period_name") == "this_year") & (F.col("customer_segment") == "overall"))
+            .collect()[0]["ending_arr"]
+        )
+
+    assert this_year() == 1200.0  # (100 + 200 + 300) on each of two app rows
+    assert this_year(dedup_app_rows=True) == 600.0
+    assert this_year(period_end_arr=True) == 300.0  # the March balance, once per account
