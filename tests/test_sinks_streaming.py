@@ -56,3 +56,20 @@ def test_daily_feed_ingestion_is_exactly_once(spark, tmp_path):
     assert df.count() == 3  # day1 is not read twice
     months = {r[0].isoformat() for r in df.select("snapshot_month").distinct().collect()}
     assert months == {"2024-01-01", "2024-02-01"}
+
+
+def test_command_line_export(spark, tmp_path):
+    from ledgerline.__main__ import main
+
+    out = tmp_path / "out"
+    assert main(["--testdata", SF, "--as-of", "2001-08-01", "--out", str(out)]) == 0
+    mart = spark.read.parquet(str(out / "mart"))
+    assert mart.count() == 1553
+    assert sorted(p.name for p in (out / "reports").iterdir()) == [
+        "account_lifecycle_signals",
+        "leadership_summary",
+        "product_insights_monthly",
+        "retention_analysis",
+    ]
+    rc = spark.read.option("header", True).csv(str(out / "checks" / "dq_unmatched_billing")).collect()
+    assert int(rc[0][0]) > 0
