@@ -15,6 +15,7 @@ from ledgerline.functions.activity import flag
 from ledgerline.functions.dates import as_of_month, months_into_period
 from ledgerline.functions.numeric import round_half_away
 from ledgerline.rules import Rules, as_date
+from ledgerline.session import partition_values
 
 ACCOUNT_SIGNAL_COLUMNS = (
     "snapshot_month",
@@ -200,6 +201,19 @@ def product_insights_monthly(mart: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- leadership (Q7)
 
 
+def latest_month(mart: DataFrame) -> Column:
+    """The latest snapshot month as a column expression.
+
+    For the month-partitioned mart table it is a literal taken from the month folder
+    names (file metadata), so the period filters prune month folders at planning time;
+    for any other DataFrame it is a scalar sub-query over the rows (one small job, no
+    join)."""
+    months = partition_values(mart, "snapshot_month")
+    if months:
+        return F.lit(dt.date.fromisoformat(max(months)))
+    return mart.agg(F.max("snapshot_month")).scalar()
+
+
 def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFrame:
     """Mart rows labelled with every leadership period they fall in (a row may be in
     several). The latest month is a scalar sub-query, computed once; quarter and year
@@ -209,7 +223,7 @@ def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFram
     latest month is in Q1; ``rolling_last_quarter=True`` takes the calendar quarter three
     months back instead (crossing the year boundary), as the report notes describe.
     """
-    last = mart.agg(F.max("snapshot_month")).scalar()
+    last = latest_month(mart)
     m = F.col("snapshot_month")
     months_into_quarter = months_into_period(last, "QUARTER") + 1
     months_into_year = months_into_period(last, "YEAR") + 1
@@ -241,8 +255,9 @@ def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFram
         "lifecycle_segment",
         "is_expansion_ready",
     ]
-    # Only the latest two calendar years can fall in any period.
-    recent = mart.where(F.year(m) >= F.year(last) - 1).select(*cols)
+    # Only the latest two calendar years can fall in any period (a range on the month
+    # itself, so it prunes month folders when ``last`` is a literal).
+    recent = mart.where(m >= F.make_date(F.year(last) - 1, F.lit(1), F.lit(1))).select(*cols)
     return recent.select(F.explode(names).alias("period_name"), *cols)
 
 

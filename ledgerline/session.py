@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,5 +108,17 @@ def materialize(
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
         _WRITTEN[cache_key] = path
-    back = spark.read.schema(df.schema).parquet(path)
-    return back.select(*df.columns)
+    back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    if partition_by:
+        # Partition values from the folder names of the written files (file metadata, no
+        # data read). Set on this exact DataFrame only: a filtered or projected child is a
+        # new object without it, so its rows are never described by these values.
+        pattern = re.compile(rf"/{re.escape(partition_by)}=([^/]+)/")
+        values = {m.group(1) for m in (pattern.search(f) for f in back.inputFiles()) if m}
+        back._ledgerline_partition_values = {partition_by: sorted(values)}
+    return back
+
+
+def partition_values(df: DataFrame, column: str) -> list[str] | None:
+    """Partition values of a table returned by ``materialize`` itself, else None."""
+    return getattr(df, "_ledgerline_partition_values", {}).get(column)

@@ -89,8 +89,19 @@ def test_reports_prune_mart_columns_and_partitions(ctx):
     assert "PartitionFilters" in pf._jdf.queryExecution().sparkPlan().toString()
 
 
-def test_leadership_reads_the_mart_twice_at_most(ctx):
-    """One scan for the latest month (a scalar sub-query), one for the period rows;
-    the SQL form unions six filtered copies of the mart."""
+def test_leadership_reads_the_mart_once_and_prunes_months(ctx):
+    """On the written mart the latest month comes from the month folders: one scan,
+    pruned to the last two calendar years (the SQL form unions six copies of the mart)."""
     plan = reports.leadership_summary(ctx.mart)._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("FileScan parquet") <= 2
+    assert plan.count("FileScan parquet") == 1
+    assert "PartitionFilters: [isnotnull(snapshot_month" in plan and "2000-01-01" in plan
+
+
+def test_latest_month_of_a_filtered_mart_comes_from_its_rows(ctx):
+    """A derived DataFrame does not inherit the folder names: its latest month is a
+    scalar sub-query over its own rows."""
+    import datetime as dt
+
+    early = ctx.mart.where(F.col("snapshot_month") < F.lit(dt.date(1999, 1, 1)))
+    got = {r["snapshot_month"] for r in reports.period_rows(early).where("period_name = 'this_month'").collect()}
+    assert got == {dt.date(1998, 12, 1)}
