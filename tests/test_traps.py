@@ -321,3 +321,26 @@ def test_dedup_and_period_end_options(spark):
     assert this_year() == 1200.0  # (100 + 200 + 300) on each of two app rows
     assert this_year(dedup_app_rows=True) == 600.0
     assert this_year(period_end_arr=True) == 300.0  # the March balance, once per account
+
+
+def test_zero_usage_app_accounts(spark):
+    """App accounts whose users never had activity: no usage rows at all, only zero rows,
+    or no users; internal accounts are left out."""
+    from ledgerline.plans import profile
+
+    src = make_sources(
+        spark,
+        apps=[
+            app(1, 1, signup=D(2024, 1, 3)),  # active user
+            app(2, 2, signup=D(2024, 1, 9)),  # user with only all-zero rows
+            app(3, 3, signup=D(2024, 2, 1)),  # no users
+            app(4, 4, signup=D(2024, 2, 5), internal=True),  # internal: not listed
+            app(5, 5, signup=None),  # user without any usage row
+        ],
+        users=[user(10, 1), user(20, 2), user(50, 5), user(51, 1, internal=True)],
+        usage=[usage_row(D(2024, 3, 1), 10, meeting_count=1), usage_row(D(2024, 3, 1), 20)],
+    )
+    got = sorted(r["app_account_id"] for r in profile.zero_usage_app_accounts(src).collect())
+    assert got == [2, 3, 5]
+    by_month = {r["signup_month"]: r["zero_usage_accounts"] for r in profile.zero_usage_by_signup_month(src).collect()}
+    assert by_month == {D(2024, 1, 1): 1, D(2024, 2, 1): 1, None: 1}
