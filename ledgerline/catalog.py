@@ -66,8 +66,10 @@ TRAILING = Rules(trailing_expansion=True)
 
 
 def _trailing(c: Context) -> Context:
-    """The same tables with the trailing-expansion option (its own written mart)."""
-    return Context(c.spark, c.sf_dir, c.as_of, TRAILING)
+    """The same source tables with the trailing-expansion option (its own written mart)."""
+    t = Context(c.spark, c.sf_dir, c.as_of, TRAILING)
+    t.__dict__["src"] = c.src
+    return t
 
 
 QUERIES: dict[str, Callable[[Context], DataFrame]] = {
