@@ -242,7 +242,7 @@ def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFram
         "this_year": same_year & in_y_window,
         "last_year": (F.year(m) == F.year(last) - 1) & in_y_window,
     }
-    names = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in period_flags.items()]))
+    names = F.array_compact(F.array(*[F.when(period_flags[p], F.lit(p)) for p in PERIODS]))
     cols = [
         "billing_account_id",
         "customer_segment",
