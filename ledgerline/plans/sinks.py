@@ -33,6 +33,7 @@ def write_mart(mart: DataFrame, path: str) -> None:
     """The mart as parquet partitioned by month, clustered by account inside each month."""
     (
         mart.repartitionByRange("snapshot_month", "billing_account_id")
+        .sortWithinPartitions("snapshot_month", "billing_account_id")
         .write.mode("overwrite")
         .partitionBy("snapshot_month")
         .parquet(path)

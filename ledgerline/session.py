@@ -101,8 +101,9 @@ def materialize(
         out = df
         if partition_by:
             # Range on (partition column, cluster keys): each task writes few month
-            # folders, and a large month is still split across tasks.
-            out = out.repartitionByRange(partition_by, *cluster_by)
+            # folders, and a large month is still split across tasks. Sorted inside the
+            # task, so row groups carry tight min/max statistics of the cluster keys.
+            out = out.repartitionByRange(partition_by, *cluster_by).sortWithinPartitions(partition_by, *cluster_by)
         writer = out.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
