@@ -108,17 +108,40 @@ def _arrow(rows: list[tuple], schema: T.StructType) -> pa.Table:
     )
 
 
-@pytest.mark.parametrize("seed", SEEDS)
-def test_random_sources_match_oracle(spark, seed):
+ID_COLUMNS = {
+    "billing_account_id",
+    "billing_account_bridge_id",
+    "app_account_id",
+    "app_parent_account_id",
+    "app_root_account_id",
+    "app_user_id",
+}
+
+
+def with_text_ids(tables: dict[str, list[tuple]], schemas: dict[str, T.StructType]) -> dict[str, list[tuple]]:
+    """The same tables with ids as text (as in the production CSVs)."""
+    out = {}
+    for name, rows in tables.items():
+        idx = [i for i, f in enumerate(schemas[name].fields) if f.name in ID_COLUMNS]
+        out[name] = [
+            tuple(f"id-{v}" if i in idx and v is not None else v for i, v in enumerate(row)) for row in rows
+        ]
+    return out
+
+
+@pytest.mark.parametrize("seed,id_type", [(s, T.LongType()) for s in SEEDS] + [(31, T.StringType())])
+def test_random_sources_match_oracle(spark, seed, id_type):
     import duckdb
 
+    schemas = source_schemas(id_type)
     tables = random_tables(seed)
-    schemas = source_schemas(T.LongType())
+    if isinstance(id_type, T.StringType):
+        tables = with_text_ids(tables, schemas)
     src = Sources(**{n: spark.createDataFrame(tables[n], schemas[n]) for n in SOURCE_NAMES})
     con = duckdb.connect()
     for n in SOURCE_NAMES:
         con.register(f"src_{n}", _arrow(tables[n], schemas[n]))
-    ctx = catalog.Context(spark, f"random-seed-{seed}")
+    ctx = catalog.Context(spark, f"random-seed-{seed}-{id_type.simpleString()}")
     ctx.__dict__["src"] = src  # the cached source tables of this context
     sqls = oracle_sql_over_sources()
     bad = []
