@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.activity import DAYS_WITH, flag
@@ -41,7 +41,7 @@ def arr_signals(arr_monthly: DataFrame) -> DataFrame:
     )
 
 
-def expansion_flags(arr_monthly: DataFrame, as_of: dt.date, rules: Rules = Rules()) -> dict[str, F.Column]:
+def expansion_flags(arr_monthly: DataFrame, as_of: dt.date, rules: Rules = Rules()) -> dict[str, Column]:
     """``had_expansion`` and ``expanded_last_3_months`` as columns over monthly ARR rows.
 
     Default (the SQL): this month's movement is an expansion and the month lies within
@@ -128,14 +128,13 @@ def account_spine(bridge: DataFrame, stg_arr: DataFrame) -> DataFrame:
     return account_apps(bridge).join(months, on="billing_account_id", how="inner")
 
 
-def new_account_flag(rules: Rules = Rules()) -> F.Column:
+def new_account_flag(rules: Rules = Rules()) -> Column:
     """1 while the month is not after the month of (signup or creation) + N days;
     months before signup count as new; no dates -> 0."""
     anchor = F.coalesce(F.col("app_signup_date"), F.col("billing_created_date"))
     return flag(F.col("snapshot_month") <= F.trunc(F.date_add(anchor, rules.new_account_days), "MM"))
 
 
-
 def activity_by_billing_month(app_month: DataFrame, bridge: DataFrame) -> DataFrame:
     """Usage and adoption of bridged app accounts rolled up to billing account x month
     in one aggregation, plus the previous month's (unweighted mean) rate.
