@@ -87,9 +87,16 @@ def main() -> None:
     _ = ctx.src  # five source tables written once under the checkpoint folder
     timings["mart_build"] = _timed(lambda: _run(lifecycle_mart(build_models(ctx.src), ctx.as_of, ctx.rules)), runs)
 
+    # one write of the mart (compute, range partitioning, parquet by month) into a fresh
+    # folder, so a table kept from an earlier run cannot make it look cheap
+    from ledgerline.plans.sinks import write_mart
+    from ledgerline.session import checkpoint_dir
+
+    fresh = f"{checkpoint_dir(spark).rstrip('/')}/bench-{os.getpid()}-{time.time_ns()}/mart"
     t0 = time.perf_counter()
-    _ = ctx.mart  # written once under the checkpoint folder
+    write_mart(lifecycle_mart(build_models(ctx.src), ctx.as_of, ctx.rules), fresh)
     timings["mart_write"] = time.perf_counter() - t0
+    _ = ctx.mart  # the reports read the mart written once under the checkpoint folder
 
     for name in HEADLINE:
         fn = catalog.QUERIES[name]

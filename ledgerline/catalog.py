@@ -20,7 +20,7 @@ from ledgerline.plans import profile, quality, reports
 from ledgerline.plans.mart import SCORE_COLUMNS, Models, build_models, materialized_mart
 from ledgerline.rules import Rules
 from ledgerline.sources.files import Sources
-from ledgerline.sources.testdata import testdata_sources
+from ledgerline.sources.testdata import inputs_key, testdata_sources
 
 # Run date for the driver's tables (their orders end 2001-08-01).
 AS_OF = dt.date(2001, 8, 1)
@@ -47,7 +47,7 @@ class Context:
 
     @cached_property
     def mart(self) -> DataFrame:
-        return materialized_mart(self.src, self.as_of, f"testdata:{self.sf_dir}", self.rules)
+        return materialized_mart(self.src, self.as_of, f"testdata:{inputs_key(self.sf_dir)}", self.rules)
 
 
 def _q(fn: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -45,11 +45,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app_name:
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir`` (or set on the context)."""
-    sc_dir = spark.sparkContext.getCheckpointDir()
-    if sc_dir:
-        return sc_dir
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    """The shared folder the cluster names in ``spark.checkpoint.dir`` (else the folder set
+    on the context). Tables written here outlive one session; their keys say what made them."""
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if conf_dir:
+        return conf_dir
+    return spark.sparkContext.getCheckpointDir() or None
+
+
+def _code_version() -> str:
+    """Hash of this package's source: a table written by other code is never reused."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    h = hashlib.sha1()
+    for dirpath, _, files in sorted(os.walk(root)):
+        for name in sorted(f for f in files if f.endswith(".py")):
+            with open(os.path.join(dirpath, name), "rb") as fh:
+                h.update(name.encode() + fh.read())
+    return h.hexdigest()[:12]
+
+
+CODE_VERSION = _code_version()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -86,13 +101,14 @@ def materialize(
     This cuts lineage (a lost executor re-reads files instead of recomputing the
     whole mart) and lets later reports prune columns and partitions. The same
     ``key`` within one checkpoint folder reuses the written table. With no
-    checkpoint folder configured the lazy plan is returned unchanged.
+    checkpoint folder configured the lazy plan is returned unchanged. The key must name
+    the inputs (and their versions); the package's code version is added to it.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     if not base:
         return df
-    digest = hashlib.sha1(key.encode()).hexdigest()[:16]
+    digest = hashlib.sha1(f"{CODE_VERSION}|{key}".encode()).hexdigest()[:16]
     path = f"{base.rstrip('/')}/ledgerline/{name}-{digest}"
     cache_key = (base, path)
     if cache_key not in _WRITTEN and _complete(spark, path):

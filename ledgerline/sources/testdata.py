@@ -165,7 +165,7 @@ def arr_daily(orders: DataFrame) -> DataFrame:
     )
 
 
-def _inputs_key(sf_dir: str) -> str:
+def inputs_key(sf_dir: str) -> str:
     """Identity of the input tables: path, size and modification time of each file."""
     import os
 
@@ -201,6 +201,6 @@ def testdata_sources(spark: SparkSession, sf_dir: str, materialized: bool = Fals
     if materialized:
         from ledgerline.session import materialize
 
-        key = _inputs_key(sf_dir)
+        key = inputs_key(sf_dir)
         frames = {name: materialize(df, f"src-{name}", key) for name, df in frames.items()}
     return Sources(**frames)
