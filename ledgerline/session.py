@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def _rename(spark: SparkSession, src: str, dst: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    src_path = jvm.org.apache.hadoop.fs.Path(src)
+    fs = src_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dst_path = jvm.org.apache.hadoop.fs.Path(dst)
+    fs.mkdirs(dst_path.getParent())
+    return bool(fs.rename(src_path, dst_path))
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     """True when a finished write (its ``_SUCCESS`` marker) exists at ``path`` on the
     shared file system."""
@@ -120,11 +136,20 @@ def materialize(
             # folders, and a large month is still split across tasks. Sorted inside the
             # task, so row groups carry tight min/max statistics of the cluster keys.
             out = out.repartitionByRange(partition_by, *cluster_by).sortWithinPartitions(partition_by, *cluster_by)
-        writer = out.write.mode("overwrite")
+        writer = out.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
-        _WRITTEN[cache_key] = path
+        # Written to a fresh folder, then renamed into place: a concurrent run that builds
+        # the same table never sees (or overwrites) a half-written one. If another run
+        # got there first, its complete table is used.
+        staging = f"{path}.staging-{uuid.uuid4().hex}"
+        writer.parquet(staging)
+        if not _exists(spark, path):
+            _rename(spark, staging, path)
+        # a folder already at ``path`` is either another run's complete table or an
+        # incomplete one (a copy-based rename cut short): then read our staging folder
+        _WRITTEN[cache_key] = path if _complete(spark, path) else staging
+    path = _WRITTEN[cache_key]
     back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     if partition_by:
         # Partition values from the folder names of the written files (file metadata, no
