@@ -8,6 +8,7 @@ import re
 import uuid
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on: UTC dates, AQE with skew handling, no UI.
@@ -81,28 +82,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-
-
-def _rename(spark: SparkSession, src: str, dst: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    src_path = jvm.org.apache.hadoop.fs.Path(src)
-    fs = src_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dst_path = jvm.org.apache.hadoop.fs.Path(dst)
-    fs.mkdirs(dst_path.getParent())
-    return bool(fs.rename(src_path, dst_path))
-
-
 def _complete(spark: SparkSession, path: str) -> bool:
-    """True when a finished write (its ``_SUCCESS`` marker) exists at ``path`` on the
-    shared file system."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(marker))
+    """True when a committed write (its ``_SUCCESS`` marker) exists at ``path``; only the
+    file listing is touched."""
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+        return True
+    except AnalysisException:
+        return False
 
 
 def materialize(
@@ -139,16 +126,16 @@ def materialize(
         writer = out.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        # Written to a fresh folder, then renamed into place: a concurrent run that builds
-        # the same table never sees (or overwrites) a half-written one. If another run
-        # got there first, its complete table is used.
-        staging = f"{path}.staging-{uuid.uuid4().hex}"
-        writer.parquet(staging)
-        if not _exists(spark, path):
-            _rename(spark, staging, path)
-        # a folder already at ``path`` is either another run's complete table or an
-        # incomplete one (a copy-based rename cut short): then read our staging folder
-        _WRITTEN[cache_key] = path if _complete(spark, path) else staging
+        # The committer writes ``_SUCCESS`` only after the job commits, and readers require
+        # it. A folder that already exists without it belongs to another run still writing
+        # (or to a failed one): then this run writes a folder of its own.
+        try:
+            writer.parquet(path)
+        except AnalysisException:
+            if not _complete(spark, path):
+                path = f"{path}.{uuid.uuid4().hex}"
+                writer.parquet(path)
+        _WRITTEN[cache_key] = path
     path = _WRITTEN[cache_key]
     back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     if partition_by:
