@@ -135,6 +135,7 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "arr_movement_by_month": lambda c: profile.arr_movement_by_month(c.models.arr_monthly),
     "arr_movement_counts": lambda c: profile.arr_movement_counts(c.models.arr_monthly),
     "arr_profile": lambda c: profile.arr_profile(c.src),
+    "zero_arr_rows_sample": lambda c: profile.zero_arr_rows_sample(c.src),
     "zero_usage_app_accounts": lambda c: profile.zero_usage_app_accounts(c.src),
     "zero_usage_by_signup_month": lambda c: profile.zero_usage_by_signup_month(c.src),
     "utilisation_buckets": lambda c: profile.utilisation_buckets(c.src),

@@ -79,6 +79,16 @@ def arr_profile(src: Sources) -> DataFrame:
     )
 
 
+def zero_arr_rows_sample(src: Sources, n: int = 10) -> DataFrame:
+    """A look at daily ARR rows at zero: the first ``n`` by account and date (a sample is
+    the feature; the order makes it repeatable, a top-k rather than a full sort)."""
+    return (
+        src.arr_daily.where(F.col("ending_arr") == 0)
+        .orderBy(F.col("billing_account_id").asc_nulls_last(), F.col("date").asc_nulls_last())
+        .limit(n)
+    )
+
+
 def _user_activity(src: Sources) -> DataFrame:
     """Summed row totals per app account over raw external users and their usage."""
     usage = (
