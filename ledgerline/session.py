@@ -52,7 +52,10 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         return conf_dir
-    return spark.sparkContext.getCheckpointDir() or None
+    try:
+        return spark.sparkContext.getCheckpointDir() or None
+    except Exception:  # a remote (Connect) session has no SparkContext here
+        return None
 
 
 def _code_version() -> str:
@@ -69,14 +72,17 @@ def _code_version() -> str:
 CODE_VERSION = _code_version()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Use the session's checkpoint folder; only when none is configured (tests, local bench)
     create a fresh local one."""
     existing = checkpoint_dir(spark)
     if existing:
         return existing
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir="/tmp"))
-    return spark.sparkContext.getCheckpointDir()
+    try:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir="/tmp"))
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # a remote (Connect) session: plans stay lazy, nothing is written
+        return None
 
 
 _WRITTEN: dict[tuple[str, str], str] = {}
