@@ -344,3 +344,23 @@ def test_zero_usage_app_accounts(spark):
     assert got == [2, 3, 5]
     by_month = {r["signup_month"]: r["zero_usage_accounts"] for r in profile.zero_usage_by_signup_month(src).collect()}
     assert by_month == {D(2024, 1, 1): 1, D(2024, 2, 1): 1, None: 1}
+
+
+def test_multi_movement_check_min_max_versus_first_last(spark):
+    """The check as written uses min(start)/max(end) per month, which cannot see a churn
+    (D9); the first/last variant sees the account's churn and contraction months."""
+    from ledgerline.operators.intermediate import int_arr_monthly
+    from ledgerline.operators.staging import stg_arr_daily
+
+    arr = [
+        arr_row(D(2024, 1, 1), 1, 300, 300), arr_row(D(2024, 1, 20), 1, 300, 0),  # first/last: churned
+        arr_row(D(2024, 2, 1), 1, 0, 200), arr_row(D(2024, 2, 9), 1, 200, 100),  # first/last: expansion
+        arr_row(D(2024, 3, 1), 1, 100, 50),  # contraction either way
+    ]
+    stg = stg_arr_daily(make_sources(spark, arr=arr).arr_daily)
+    as_written = {r["billing_account_id"]: r for r in quality.dq_multi_movement(stg).collect()}
+    first_last = {r["billing_account_id"]: r for r in quality.dq_multi_movement_first_last(int_arr_monthly(stg)).collect()}
+    # min/max: Jan 300->300 stable, Feb 0->200 expansion, Mar contraction
+    assert as_written[1]["movement_types"] == "contraction, expansion"
+    assert first_last[1]["movement_types"] == "churned, contraction, expansion"
+    assert first_last[1]["distinct_movement_types"] == 3
