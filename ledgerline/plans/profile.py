@@ -127,24 +127,24 @@ def zero_usage_by_signup_month(src: Sources) -> DataFrame:
 def _raw_account_months(src: Sources) -> DataFrame:
     """Per (app account, month) over raw external users LEFT JOIN raw usage:
     users with usage rows, users with activity, summed meetings and AI chats.
-    Two levels (user, then account) replace the COUNT DISTINCTs."""
+
+    Usage is pre-aggregated to (user, month) before the join (partial aggregation before
+    the shuffle); then two levels (user, then account) replace the COUNT DISTINCTs."""
     users = src.app_users.where(F.col("is_internal_user") == F.lit(False)).select("app_user_id", "app_account_id")
-    usage = src.app_usage_daily.select(
-        "app_user_id",
-        month_start("date").alias("snapshot_month"),
-        row_total().alias("row_total"),
-        "meeting_count",
-        "ai_chat_message_submitted_count",
-    )
-    per_user = (
-        users.join(usage, on="app_user_id", how="left")
-        .groupBy("app_account_id", "snapshot_month", "app_user_id")
+    usage = (
+        src.app_usage_daily.where(F.col("app_user_id").isNotNull())
+        .groupBy("app_user_id", month_start("date").alias("snapshot_month"))
         .agg(
-            F.max(flag(F.col("row_total") > 0)).alias("active"),
+            F.max(flag(row_total() > 0)).alias("active"),
             F.sum("meeting_count").alias("meetings"),
             F.sum("ai_chat_message_submitted_count").alias("ai_chats"),
         )
     )
+    per_user = (
+        users.join(usage, on="app_user_id", how="left")
+        .groupBy("app_account_id", "snapshot_month", "app_user_id")
+        .agg(F.max("active").alias("active"), F.sum("meetings").alias("meetings"), F.sum("ai_chats").alias("ai_chats"))
+    )
     # a NULL user id is no user: COUNT(DISTINCT id) skips it
     known = F.col("app_user_id").isNotNull()
     return per_user.groupBy("app_account_id", "snapshot_month").agg(
