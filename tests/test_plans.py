@@ -105,3 +105,11 @@ def test_latest_month_of_a_filtered_mart_comes_from_its_rows(ctx):
     early = ctx.mart.where(F.col("snapshot_month") < F.lit(dt.date(1999, 1, 1)))
     got = {r["snapshot_month"] for r in reports.period_rows(early).where("period_name = 'this_month'").collect()}
     assert got == {dt.date(1998, 12, 1)}
+
+
+def test_mart_exchange_budget(ctx):
+    """16 exchanges with the settings of DEFAULT_CONF: usage aggregated once, per-account
+    partitioning kept through the account-month joins (a regression guard)."""
+    df = lifecycle_mart(build_models(ctx.src), ctx.as_of)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 16
