@@ -61,7 +61,8 @@ def _timed(fn, runs: int) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    cpus_env = os.environ.get("BENCH_CPUS", "8").strip()
+    cpus = cpus_env if cpus_env.isdigit() else str(os.cpu_count() or 8)
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     # one shuffle partition per core at this data size (AQE coalesces further)
     shuffle_partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(int(cpus))))
