@@ -65,7 +65,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.eventLog.enabled": "true",
             "spark.eventLog.dir": ev_dir,
-            "spark.driver.memory": "8g",
+            "spark.driver.memory": "16g",
         }
     )
     for k, v in conf.items():
