@@ -119,8 +119,9 @@ def billing_month_signals(m: Models, as_of: dt.date, rules: Rules = Rules()) ->
 
     Every spine month comes from the account's ARR rows, so the monthly ARR table
     is the set of (billing, month) keys; product activity is left-joined to it.
-    Both sides are hash-partitioned by billing account after their windows, so the
-    join on (billing, month) needs no further shuffle.
+    Both sides are hash-partitioned by billing account after their windows; with
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` (``session.DEFAULT_CONF``)
+    the join on (billing, month) and the app fan-out on billing need no further shuffle.
     """
     arr = arr_signals(m.arr_monthly)
     arr = arr.withColumns(expansion_flags(arr, as_of, rules))
