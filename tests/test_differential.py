@@ -9,6 +9,7 @@ library and through the same SQL chain, which here reads the five tables directl
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 
 import pyarrow as pa
@@ -141,7 +142,9 @@ def test_random_sources_match_oracle(spark, seed, id_type):
     con = duckdb.connect()
     for n in SOURCE_NAMES:
         con.register(f"src_{n}", _arrow(tables[n], schemas[n]))
-    ctx = catalog.Context(spark, f"random-seed-{seed}-{id_type.simpleString()}")
+    # the written sources and mart are keyed by this name: it names the exact tables
+    digest = hashlib.sha1(repr(sorted(tables.items())).encode()).hexdigest()[:12]
+    ctx = catalog.Context(spark, f"random-{seed}-{id_type.simpleString()}-{digest}")
     ctx.__dict__["src"] = src  # the cached source tables of this context
     sqls = oracle_sql_over_sources()
     bad = []
