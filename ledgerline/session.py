@@ -89,13 +89,18 @@ _WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    """True when a committed write (its ``_SUCCESS`` marker) exists at ``path``; only the
-    file listing is touched."""
+    """True when a committed write (its ``_SUCCESS`` marker) exists at ``path``, asked of
+    the session's Hadoop file system; no data is read."""
     try:
-        spark.read.text(f"{path}/_SUCCESS")
-        return True
-    except AnalysisException:
-        return False
+        jvm = spark.sparkContext._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))
+    except Exception:  # no JVM gateway (a remote session): list the marker through a reader
+        try:
+            spark.read.text(f"{path}/_SUCCESS")
+            return True
+        except AnalysisException:
+            return False
 
 
 def materialize(
