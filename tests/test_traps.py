@@ -364,3 +364,15 @@ def test_multi_movement_check_min_max_versus_first_last(spark):
     assert as_written[1]["movement_types"] == "contraction, expansion"
     assert first_last[1]["movement_types"] == "churned, contraction, expansion"
     assert first_last[1]["distinct_movement_types"] == 3
+
+
+def test_new_account_window_crosses_the_year(spark):
+    """Signup 2023-12-15 + 30 days = 2024-01-14: new through January 2024."""
+    mart = mart_of(
+        spark,
+        billing=[billing(1, bridge=1, created=D(2020, 1, 1))],
+        apps=[app(1, 1, signup=D(2023, 12, 15))],
+        arr=months(1, D(2023, 11, 1), 4),
+    )
+    got = {r["snapshot_month"]: r["is_new_account"] for r in mart.collect()}
+    assert got == {D(2023, 11, 1): 1, D(2023, 12, 1): 1, D(2024, 1, 1): 1, D(2024, 2, 1): 0}
