@@ -30,9 +30,10 @@ def write_csv_report(df: DataFrame, path: str, order_by: tuple[str, ...], single
 
 
 def write_mart(mart: DataFrame, path: str) -> None:
-    """The mart as parquet partitioned by month, clustered by account inside each month."""
+    """The mart as parquet partitioned by month, clustered by account inside each month
+    (AQE rebalances by month: small months merged, large months split across tasks)."""
     (
-        mart.repartitionByRange("snapshot_month", "billing_account_id")
+        mart.hint("rebalance", "snapshot_month")
         .sortWithinPartitions("snapshot_month", "billing_account_id")
         .write.mode("overwrite")
         .partitionBy("snapshot_month")

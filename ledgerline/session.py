@@ -130,10 +130,12 @@ def materialize(
     if cache_key not in _WRITTEN:
         out = df
         if partition_by:
-            # Range on (partition column, cluster keys): each task writes few month
-            # folders, and a large month is still split across tasks. Sorted inside the
-            # task, so row groups carry tight min/max statistics of the cluster keys.
-            out = out.repartitionByRange(partition_by, *cluster_by).sortWithinPartitions(partition_by, *cluster_by)
+            # REBALANCE on the partition column: AQE groups rows by month, merges small
+            # months and splits a month larger than the advisory size across tasks, with
+            # no sampling pass over the input (a range repartition would run the last
+            # stage twice). Sorted inside each task, so row groups carry tight min/max
+            # statistics of the cluster keys.
+            out = out.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
         writer = out.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
