@@ -4,10 +4,12 @@ A row's size is its number of words, its place in its source a 60-bit hash of it
 source has a budget of words; rows below a hash threshold are taken. The threshold is
 found without sorting: a histogram sums the sizes by source and hash bucket, the running
 sum names the bucket in which the budget ends, and only that bucket is split further by
-the next bits until a single hash is left. The row at the threshold does not fit, so the
-words still missing form a nested budget for the rows not taken that fit in it; ``ROUNDS``
-nested budgets bring the total near the target. A source with a target above its size
-takes every row once and spends the rest of the budget on second copies.
+the next bits until a single hash is left. Budgets are nested: large rows, with over 1/LARGE
+of their source's words, get their share of the source's budget first (to the nearest row);
+what they leave is the budget of the others. The row at a threshold does not fit, so the
+words still missing are again a budget, for the rows not taken that fit in it. ``ROUNDS``
+of these bring the total near the target. A source with a target above its size takes every
+row once and spends the rest of the budget on second copies.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; a row without an id is placed by its text. Rows that repeat an id share its hash
@@ -29,8 +31,9 @@ from ledgerline.llm.common import WORD, narrow_side, written
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)
 COPIES = 2
-#: nested budgets per source, and hash bits resolved by each histogram
-ROUNDS = 3
+#: nested budgets per source (the first one is that of the large rows), and hash bits resolved by each histogram
+ROUNDS = 4
+LARGE = 50
 HASH_BITS = 60
 LEVEL_BITS = 12
 
@@ -79,12 +82,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFr
     )
 
 
+def _fits(round_: int) -> F.Column:
+    """Whether nested budget ``round_`` is open to the row."""
+    if round_ == 0:
+        return F.col("size") * LARGE > F.col("source_size")
+    return (F.col("size") > 0) & (F.col("size") <= F.col(f"__r{round_}")) & ~_taken_before(round_)
+
+
 def _taken_in(round_: int) -> F.Column:
-    """Whether the row is taken by nested budget ``round_``: it fits, is not taken by an
-    earlier one, and lies below the threshold (null: every row that fits is taken)."""
-    fits = (F.col("size") > 0) & (F.col("size") <= F.col(f"__r{round_}"))
-    below = F.col(f"__t{round_}").isNull() | (F.col("__hash") < F.col(f"__t{round_}"))
-    return fits & below & (~_taken_before(round_))
+    """Whether nested budget ``round_`` takes the row: below the threshold (null: every row that fits is taken)."""
+    return _fits(round_) & (F.col(f"__t{round_}").isNull() | (F.col("__hash") < F.col(f"__t{round_}")))
 
 
 def _taken_before(round_: int) -> F.Column:
@@ -94,8 +101,9 @@ def _taken_before(round_: int) -> F.Column:
     return out
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame, sources: int) -> DataFrame:
-    """For each source the hash at which its ``budget`` ends in ``rows`` (null: never) and the sum below it."""
+def _threshold(rows: DataFrame, budgets: DataFrame, sources: int, nearest: bool) -> DataFrame:
+    """For each source the hash at which its ``budget`` ends in ``rows`` (null: never) and the
+    sum below it. The row at the end is taken only if that is ``nearest`` to the budget."""
     state = budgets.select("__src", "budget", F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("bucket"))
     done: list[DataFrame] = []
     shift = HASH_BITS
@@ -108,23 +116,28 @@ def _threshold(rows: DataFrame, budgets: DataFrame, sources: int) -> DataFrame:
         hist = hist.join(narrow_side(state.drop("bucket"), sources), "__src")
         upto = F.sum("words").over(Window.partitionBy("__src").orderBy("at")) + F.col("sum")
         over = F.col("upto") > F.col("budget")
-        first = F.min(F.when(over, F.struct("at", (F.col("upto") - F.col("words")).alias("sum"), "lo", "hi")))
+        first = F.min(F.when(over, F.struct("at", (F.col("upto") - F.col("words")).alias("sum"), "lo", "hi", "words")))
         found = hist.withColumn("upto", upto).groupBy("__src", "budget").agg(first.alias("f"), F.max("upto").alias("all"))
         found = written(
             found.select(
                 "__src", "budget", F.coalesce("f.sum", "all").alias("sum"), F.col("f.at").alias("bucket"),
-                F.col("f.lo").alias("threshold"), (F.col("f.lo") < F.col("f.hi")).alias("open"),
+                F.col("f.lo").alias("threshold"), F.col("f.words").alias("words"), (F.col("f.lo") < F.col("f.hi")).alias("open"),
             ),
             "mix-level",
         )
-        done.append(found.where("open is null or not open").select("__src", "threshold", "sum"))
+        done.append(found.where("open is null or not open").select("__src", "threshold", "sum", "words", "budget"))
         state = found.where("open").select("__src", "budget", "sum", "bucket")
         if shift == 0 or state.isEmpty():
             break
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    end = F.lit(nearest) & F.coalesce(F.col("sum") + F.col("words") / 2 <= F.col("budget"), F.lit(False))
+    return out.select(
+        "__src",
+        (F.col("threshold") + F.when(end, 1).otherwise(0)).alias("threshold"),
+        (F.col("sum") + F.when(end, F.col("words")).otherwise(0)).alias("sum"),
+    )
 
 
 def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS) -> tuple[DataFrame, int]:
@@ -135,9 +148,14 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS) -> tuple[DataFrame,
     state = source_targets(sizes, weights).withColumn("__r0", F.col("target") - F.col("base") * F.col("source_size"))
     state = written(state, "mix-targets")
     for i in range(ROUNDS):
-        open_rows = rows.join(narrow_side(state, sources), "__src")
-        open_rows = open_rows.where((F.col("size") > 0) & (F.col("size") <= F.col(f"__r{i}")) & ~_taken_before(i))
-        found = _threshold(open_rows.select("__src", "size", "__hash"), state.select("__src", F.col(f"__r{i}").alias("budget")), sources)
+        open_rows = rows.join(narrow_side(state, sources), "__src").where(_fits(i))
+        budget = F.col(f"__r{i}")
+        if i == 0:
+            large = written(open_rows.groupBy("__src").agg(F.sum("size").alias("__large")), "mix-large")
+            budgets = state.join(large, "__src").select("__src", (budget * F.col("__large") / F.col("source_size")).alias("budget"))
+        else:
+            budgets = state.select("__src", budget.alias("budget"))
+        found = _threshold(open_rows.select("__src", "size", "__hash"), budgets, sources, nearest=i == 0)
         found = found.withColumnRenamed("threshold", f"__t{i}")
         left = F.col(f"__r{i}") - F.coalesce("sum", F.lit(0))
         state = written(state.join(found, "__src", "left").withColumn(f"__r{i + 1}", left).drop("sum"), "mix-state")

@@ -146,22 +146,31 @@ WITH d AS (
   SELECT d.doc_id, d.size, d.h, t.*, CASE WHEN target >= source_size THEN 1 ELSE 0 END AS base,
          target - (CASE WHEN target >= source_size THEN 1 ELSE 0 END) * source_size AS r0
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), l AS (
+  SELECT *, size * 50 > source_size AS large,
+         r0 * sum(CASE WHEN size * 50 > source_size THEN size ELSE 0 END) OVER (PARTITION BY source) / nullif(source_size, 0) AS share
+  FROM b
 ), b0 AS (
-  SELECT *, size > 0 AND size <= r0 AND sum(CASE WHEN size > 0 AND size <= r0 THEN size ELSE 0 END)
-         OVER (PARTITION BY source ORDER BY h) <= r0 AS t0 FROM b
+  SELECT *, coalesce(large AND sum(CASE WHEN large THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h)
+         - sum(CASE WHEN large THEN size ELSE 0 END) OVER (PARTITION BY source, h) / 2.0 <= share, false) AS t0
+  FROM l
 ), c1 AS (
   SELECT *, r0 - sum(CASE WHEN t0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS r1 FROM b0
 ), b1 AS (
   SELECT *, NOT t0 AND size > 0 AND size <= r1 AND sum(CASE WHEN NOT t0 AND size > 0 AND size <= r1 THEN size ELSE 0 END)
          OVER (PARTITION BY source ORDER BY h) <= r1 AS t1 FROM c1
 ), c2 AS (
-  SELECT *, r1 - sum(CASE WHEN t1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS r2 FROM b1
+  SELECT *, t0 OR t1 AS t01, r1 - sum(CASE WHEN t1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS r2 FROM b1
 ), b2 AS (
-  SELECT *, NOT t0 AND NOT t1 AND size > 0 AND size <= r2
-         AND sum(CASE WHEN NOT t0 AND NOT t1 AND size > 0 AND size <= r2 THEN size ELSE 0 END)
+  SELECT *, NOT t01 AND size > 0 AND size <= r2 AND sum(CASE WHEN NOT t01 AND size > 0 AND size <= r2 THEN size ELSE 0 END)
          OVER (PARTITION BY source ORDER BY h) <= r2 AS t2 FROM c2
+), c3 AS (
+  SELECT *, t01 OR t2 AS t012, r2 - sum(CASE WHEN t2 THEN size ELSE 0 END) OVER (PARTITION BY source) AS r3 FROM b2
+), b3 AS (
+  SELECT *, NOT t012 AND size > 0 AND size <= r3 AND sum(CASE WHEN NOT t012 AND size > 0 AND size <= r3 THEN size ELSE 0 END)
+         OVER (PARTITION BY source ORDER BY h) <= r3 AS t3 FROM c3
 )
-SELECT doc_id, size, source_size, target, size * (base + CASE WHEN t0 OR t1 OR t2 THEN 1 ELSE 0 END) AS taken FROM b2
+SELECT doc_id, size, source_size, target, size * (base + CASE WHEN t012 OR t3 THEN 1 ELSE 0 END) AS taken FROM b3
 """
 
 OP10_SQL = r"""

@@ -1,0 +1,121 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.llm import mixing
+from tests.llm.conftest import DOCS, corpus
+
+
+def brute(rows):
+    """Targets by resharing the excess again and again; thresholds by sorting."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, (_, t, *_) in enumerate(rows)}
+    place = {i: int(hashlib.md5(str(r[0]).encode()).hexdigest()[:15], 16) for i, r in enumerate(rows)}
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, r in enumerate(rows) if r[3] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, open_ = {}, list(sources)
+    while open_:
+        left = Fraction(3, 2) * sum(total.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * total[s]]
+        for s in over:
+            target[s] = Fraction(2 * total[s])
+        if not over:
+            target |= share
+            break
+        open_ = [s for s in open_ if s not in over]
+    taken = {}
+    for s in sources:
+        mine = sorted((i for i, r in enumerate(rows) if r[3] == s), key=lambda i: place[i])
+        base = int(target[s] >= total[s])
+        left, extra = target[s] - base * total[s], set()
+        large = [i for i in mine if 50 * size[i] > total[s]]
+        share = left * sum(size[i] for i in large) / max(1, total[s])
+        used = 0
+        for i in large:
+            used += size[i]
+            if used - Fraction(size[i], 2) <= share:
+                extra.add(i)
+        left -= sum(size[i] for i in extra)
+        for _ in range(mixing.ROUNDS - 1):
+            budget = left
+            used = 0
+            for i in mine:
+                if i in extra or not 0 < size[i] <= budget:
+                    continue
+                if used + size[i] > budget:
+                    break
+                used += size[i]
+                extra.add(i)
+            left -= used
+        for i in mine:
+            taken[i] = size[i] * (base + (i in extra))
+    return size, total, target, taken
+
+
+@pytest.mark.parametrize("level_bits", [60, 12, 4])
+def test_matches_brute_force(spark, docs, level_bits, monkeypatch):
+    monkeypatch.setattr(mixing, "LEVEL_BITS", level_bits)  # fewer bits: more histograms
+    rows = corpus()
+    size, total, target, taken = brute(rows)
+    found = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    for i, row in enumerate(rows):
+        r = found[row[0]]
+        assert (r["size"], r.source_size) == (size[i], total[row[3]])
+        assert r.target == pytest.approx(float(target[row[3]]), rel=1e-12)
+        assert r["size"] * r.copies == taken[i]
+
+
+def test_taken_words_come_near_the_targets(docs):
+    rows = mixing.mix(docs).collect()
+    for target in {r.target for r in rows}:
+        mine = [r for r in rows if r.target == target]
+        # at worst half of the largest row, when the others are too few to make up for it
+        assert abs(target - sum(r["size"] * r.copies for r in mine)) <= 0.01 * target + max(r["size"] for r in mine) / 2
+
+
+def test_many_rows_come_within_a_thousandth(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * int(rng.lognormvariate(4, 1)), None, f"s{i % 7}", None) for i in range(6000)]
+    found = mixing.mix(spark.createDataFrame(rows, DOCS)).groupBy("target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
+    for r in found.collect():
+        assert abs(r.taken - r.target) <= 0.001 * r.target
+
+
+def test_mixture_repeats_rows_and_reruns_agree(docs):
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    first, second = ([r.doc_id for r in mixing.mixture(docs).orderBy("doc_id").collect()] for _ in range(2))
+    assert first == second == sorted(i for i, n in copies.items() for _ in range(n))
+    assert mixing.mixture(docs).schema == docs.schema
+
+
+def test_one_source_and_only_null_sources(spark):
+    rows = [(i, "a b c d", None, None, 7) for i in range(40)]
+    found = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.target for r in found} == {240.0} and sum(r["size"] * r.copies for r in found) == 240
+
+
+def test_null_ids_repeated_rows_and_empty_texts(spark, empty):
+    rows = [(None, "a b", None, "s", 1), (None, None, None, "s", 1), (3, "c", None, "s", 1), (3, "c", None, "s", 1), (5, "", None, "t", 1)]
+    found = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(found) == 5 and all(0 <= r.copies <= 2 for r in found)
+    assert {r.target for r in found if r["size"] == 0 and r.doc_id == 5} == {0.0}
+    assert mixing.mix(empty).collect() == [] and mixing.mixture(empty).collect() == []
+
+
+def test_clashing_columns_are_carried(docs):
+    clash = docs.withColumns({"size": F.lit("x"), "copies": F.lit("y"), "base": F.lit(None), "__src": F.lit(1)})
+    found = mixing.mixture(clash)
+    assert found.columns == clash.columns
+    assert {(r["size"], r.copies) for r in found.collect()} == {("x", "y")}
+
+
+def test_plan_is_native(docs):
+    plan = mixing.mix(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
