@@ -202,6 +202,7 @@ def _score(root: Node) -> list[Node]:
                 continue
             block, chars, linked = run
             points = 1 + min(chars / 100, 3) + block.count(",") + block.count("、") + block.count("，")
+            points *= 1 - linked / chars
             # a paragraph's points go to its container; text straight in a container stays there
             up = node.parent if node.name in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote") and node.parent else node
             while up is not None:

@@ -57,9 +57,10 @@ def features(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode().translate(ASCII_LOWER), np.uint8).astype(np.uint32)
     counts = np.zeros(BUCKETS, np.float64)
     for i in range(0, len(data), CHUNK):
-        b = data[max(0, i - 2) : i + CHUNK]
+        old = min(i, 2)  # bytes of the chunk before, for the n-grams that span both
+        b = data[i - old : i + CHUNK]
         pair = b[:-1] * 257 + b[1:]
-        for grams in (b, pair, pair[:-1] * 257 + b[2:]):
+        for grams in (b[old:], pair[old and 1 :], pair[:-1] * 257 + b[2:]):
             counts += np.bincount((grams * np.uint32(2654435761)) >> np.uint32(20), minlength=BUCKETS)
     counts = np.sqrt(counts)
     return (counts / (np.linalg.norm(counts) or 1.0)).astype(np.float32)
