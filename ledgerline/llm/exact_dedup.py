@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACES, attach, written
+from ledgerline.llm.common import SPACES, attach, narrow_side, written
 
 PROBES = 2
 BITS_PER_ROW = 16
@@ -110,11 +110,19 @@ def exact_dedup(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (whatever their names).
 
-    The texts are read a second time rather than written; rows outside the filter are
-    not shuffled at all."""
-    _, total, probed, groups = _plan(docs, id_col, text_col, max_filter_bits)
+    The texts are read a second time rather than written. A text is shuffled only when
+    the groups are too many to broadcast, or when the row that stays is itself repeated."""
+    digests, total, probed, groups = _plan(docs, id_col, text_col, max_filter_bits)
+    stays = F.col("__keep").eqNullSafe(F.col(id_col)) & (F.col("__len") == F.col("__keep_len"))
+    rows_that_stay = attach(probed(digests).where("__repeated"), groups, "text_sha256", "__n", total).where(stays)
+    twins = written(rows_that_stay.groupBy("text_sha256").count().where("count > 1").select("text_sha256"), "exact-twins")
+    marked = groups.join(twins.withColumn("__twins", F.lit(True)), "text_sha256", "left")
+    marked = written(marked.drop("__n").fillna(False, ["__twins"]), "exact-marked")
+
     rows = docs.select(F.struct("*").alias("__row"), id_col, text_col)
-    out = _answer(with_digest(rows, text_col).drop(text_col), id_col, probed, groups, total).where("kept")
-    # one row of each group is kept, unless the kept row itself is repeated
-    first = out.where("group_size > 1").dropDuplicates(["text_sha256"])
-    return out.where("group_size = 1").unionByName(first).select("__row.*")
+    rows = probed(with_digest(rows, text_col).drop(text_col))
+    found = rows.where("__repeated").join(narrow_side(marked, marked.count()), "text_sha256", "left")
+    found = found.where(F.col("__twins").isNull() | stays)
+    one = found.where("__twins").dropDuplicates(["text_sha256"])
+    out = rows.where("not __repeated").select("__row").unionByName(found.where("__twins is null or not __twins").select("__row"))
+    return out.unionByName(one.select("__row")).select("__row.*")
