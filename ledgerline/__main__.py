@@ -4,8 +4,9 @@
     spark-submit ... -m ledgerline --parquet DIR --as-of 2026-05-01 --out DIR
 
 Writes ``OUT/mart`` (parquet by month), ``OUT/reports/<name>`` (sorted CSV with a
-header) and ``OUT/checks/<name>`` (CSV; empty means the check passed). Uses the
-session of the submitter; its ``spark.checkpoint.dir`` holds the written mart.
+header) and ``OUT/checks/<name>`` (sorted CSV; empty means the check passed). Every run
+builds the mart from the inputs as they are now, writes it once, and reads the reports
+from that table. Uses the session of the submitter, with this package's SQL settings.
 """
 
 from __future__ import annotations
@@ -17,41 +18,45 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from ledgerline.plans import quality, sinks
-from ledgerline.plans.mart import build_models, materialized_mart
+from ledgerline.plans.mart import build_models, lifecycle_mart
 from ledgerline.rules import Rules, as_date
-from ledgerline.session import ensure_checkpoint_dir
+from ledgerline.session import apply_sql_conf, read_back
 from ledgerline.sources import read_csv_sources, read_parquet_sources, testdata_sources
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
-    ensure_checkpoint_dir(spark)
+    apply_sql_conf(spark)
     id_type = T.LongType() if args.id_type == "bigint" else T.StringType()
     if args.csv:
-        src, key = read_csv_sources(spark, args.csv, id_type), f"csv:{args.csv}"
+        src = read_csv_sources(spark, args.csv, id_type)
     elif args.parquet:
-        src, key = read_parquet_sources(spark, args.parquet), f"parquet:{args.parquet}"
+        src = read_parquet_sources(spark, args.parquet, id_type)
     else:
-        src, key = testdata_sources(spark, args.testdata, materialized=True), f"testdata:{args.testdata}"
+        src = testdata_sources(spark, args.testdata)
     as_of = as_date(args.as_of)
     rules = Rules(trailing_expansion=args.trailing_expansion)
-    mart = materialized_mart(src, as_of, key, rules)
     out = args.out.rstrip("/")
     written = {"mart": f"{out}/mart"}
-    sinks.write_mart(mart, written["mart"])
+    m = build_models(src)
+    plan = lifecycle_mart(m, as_of, rules)
+    sinks.write_mart(plan, written["mart"])
+    mart = read_back(spark, written["mart"], plan.schema, "snapshot_month")
     for name, path in sinks.export_reports(mart, as_of, f"{out}/reports", rules).items():
         written[f"reports/{name}"] = path
-    m = build_models(src)
     checks = {
         "dq_unmatched_billing": quality.dq_unmatched_billing(m.staged),
         "dq_duplicate_bridge": quality.dq_duplicate_bridge(m.bridge),
         "dq_repeat_churn": quality.dq_repeat_churn(mart),
-        "dq_usage_after_zero_arr": quality.dq_usage_after_zero_arr(mart),
+        "dq_usage_after_zero_arr": quality.dq_usage_after_zero_arr(mart, limit=None),
         "dq_zero_usage_retained": quality.dq_zero_usage_retained(mart, as_of, rules),
         "dq_multi_movement": quality.dq_multi_movement(m.staged.arr_daily),
+        "dq_unique_keys": quality.dq_unique_keys(m.staged, m.bridge, m.arr_monthly),
+        "dq_not_null": quality.dq_not_null(m.staged, mart),
+        "dq_accepted_values": quality.dq_accepted_values(mart),
     }
     for name, df in checks.items():
         path = f"{out}/checks/{name}"
-        df.write.mode("overwrite").option("header", True).csv(path)
+        sinks.write_csv_report(df, path, sinks.CHECK_ORDER[name])
         written[f"checks/{name}"] = path
     return written
 

@@ -47,7 +47,7 @@ class Context:
 
     @cached_property
     def mart(self) -> DataFrame:
-        return materialized_mart(self.src, self.as_of, f"testdata:{inputs_key(self.sf_dir)}", self.rules)
+        return materialized_mart(self.src, self.as_of, f"testdata:{inputs_key(self.spark, self.sf_dir)}", self.rules)
 
 
 def _q(fn: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -86,7 +86,7 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "int_usage_monthly": lambda c: c.models.usage_monthly,
     "int_user_adoption_monthly": lambda c: c.models.adoption_monthly,
     # mart building blocks
-    "account_spine": lambda c: sig.account_spine(c.models.bridge, c.st.arr_daily),
+    "account_spine": lambda c: sig.account_spine(c.models.bridge, c.st.billing_accounts, c.st.arr_daily),
     "arr_signals": _arr_signals,
     "usage_by_billing_month": lambda c: sig.usage_by_billing_month(c.models.usage_monthly, c.models.bridge),
     "adoption_by_billing_month": lambda c: sig.adoption_by_billing_month(c.models.adoption_monthly, c.models.bridge),

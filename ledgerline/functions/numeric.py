@@ -16,6 +16,13 @@ def round_half_away(c: Column, digits: int) -> Column:
     return F.round(c.cast("double") * F.lit(scale)) / F.lit(scale)
 
 
+def exact_avg(c: Column, scale: int) -> Column:
+    """Mean of values rounded to 1/scale: a sum of whole numbers and one division, so the
+    order in which rows meet can't change it (a DOUBLE average depends on it)."""
+    whole = F.round(c * F.lit(float(scale))).cast("decimal(38,0)")
+    return F.sum(whole).cast("double") / (F.lit(float(scale)) * F.count(c))
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """``numerator * 1.0 / nullif(denominator, 0)`` as DOUBLE; NULL instead of a divide-by-zero error."""
     return F.when(denominator != 0, numerator.cast("double") / denominator.cast("double"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.activity import DAYS_WITH, flag
 from ledgerline.functions.dates import as_of_month, month_index, month_start
+from ledgerline.functions.numeric import exact_avg
 from ledgerline.rules import Rules
 
 # Monthly usage totals in the order the billing roll-up emits them.
@@ -88,7 +89,7 @@ def usage_by_billing_month(usage_monthly: DataFrame, bridge: DataFrame) -> DataF
 def adoption_by_billing_month(adoption_monthly: DataFrame, bridge: DataFrame) -> DataFrame:
     """Adoption rolled up to billing account x month, plus the previous month's rate.
 
-    The unweighted ``avg`` of per-app rates is kept as is. Rows with a NULL month
+    The rate is the unweighted mean of per-app rates, which have two decimals. Rows with a NULL month
     (users without usage) never match a snapshot month; they are dropped before the
     window, because a NULL month must not become the "previous" month of the first
     real month (SQL sorts NULLs last there).
@@ -100,7 +101,7 @@ def adoption_by_billing_month(adoption_monthly: DataFrame, bridge: DataFrame) ->
         F.sum("total_users").alias("total_users"),
         F.sum("active_users").alias("active_users"),
         F.sum("owner_count").alias("owner_count"),
-        F.avg("active_user_rate").alias("active_user_rate"),
+        exact_avg(F.col("active_user_rate"), 100).alias("active_user_rate"),
         F.max("has_any_activity").alias("has_any_activity"),
         *[F.sum(c).alias(c) for c in DAYS_WITH.values()],
     )
@@ -108,24 +109,26 @@ def adoption_by_billing_month(adoption_monthly: DataFrame, bridge: DataFrame) ->
     return g.withColumn("prev_month_active_user_rate", F.lag("active_user_rate").over(w))
 
 
-def account_apps(bridge: DataFrame) -> DataFrame:
-    """Distinct billing x app attributes of the spine (before the month fan-out)."""
-    return bridge.select(
-        "billing_account_id",
-        "billing_account_name",
-        "customer_segment",
-        "billing_created_date",
-        "app_account_id",
-        "app_signup_date",
-        "trial_end_date",
-    ).dropDuplicates()
+def account_apps(bridge: DataFrame, stg_billing: DataFrame) -> DataFrame:
+    """Billing x app attributes of the spine (before the month fan-out).
+
+    Every attribute row of a billing id meets every app of that id, also when the id is
+    repeated with other attributes or another bridge. Both sides are dealt out by billing
+    id once; making them distinct and joining them then needs no further exchange."""
+    attributes = stg_billing.select(
+        "billing_account_id", "billing_account_name", "customer_segment", F.col("created_date").alias("billing_created_date")
+    ).repartition("billing_account_id")
+    apps = bridge.select("billing_account_id", "app_account_id", "app_signup_date", "trial_end_date").repartition(
+        "billing_account_id"
+    )
+    return attributes.dropDuplicates().join(apps.dropDuplicates(), on="billing_account_id", how="inner")
 
 
-def account_spine(bridge: DataFrame, stg_arr: DataFrame) -> DataFrame:
+def account_spine(bridge: DataFrame, stg_billing: DataFrame, stg_arr: DataFrame) -> DataFrame:
     """Billing x app account x month: every month with ARR rows of a staged billing
     account. Months are made distinct *before* the join, so daily ARR rows never fan out."""
     months = stg_arr.select("billing_account_id", month_start("date").alias("snapshot_month")).distinct()
-    return account_apps(bridge).join(months, on="billing_account_id", how="inner")
+    return account_apps(bridge, stg_billing).join(months, on="billing_account_id", how="inner")
 
 
 def new_account_flag(rules: Rules = Rules()) -> Column:
@@ -149,7 +152,7 @@ def activity_by_billing_month(app_month: DataFrame, bridge: DataFrame) -> DataFr
         F.sum("total_users").alias("total_users"),
         F.sum("active_users").alias("active_users"),
         F.sum("owner_count").alias("owner_count"),
-        F.avg("active_user_rate").alias("active_user_rate"),
+        exact_avg(F.col("active_user_rate"), 100).alias("active_user_rate"),
         F.max("has_any_activity").alias("has_any_activity"),
         *[F.sum(c).alias(c) for c in DAYS_WITH.values()],
     )

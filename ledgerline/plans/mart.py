@@ -133,7 +133,7 @@ def segment_scores(m: Models, as_of: dt.date | str, rules: Rules = Rules()) -> D
     """Spine x signals with zero-filled measures and the new-account flag (40 columns)."""
     as_of = as_date(as_of)
     signals = billing_month_signals(m, as_of, rules)
-    rows = account_apps(m.bridge).join(signals, on="billing_account_id", how="inner")
+    rows = account_apps(m.bridge, m.staged.billing_accounts).join(signals, on="billing_account_id", how="inner")
     filled = {c: F.coalesce(F.col(c), F.lit(0)) for c in _ZERO_FILLED}
     filled["is_new_account"] = new_account_flag(rules)
     return rows.withColumns(filled).select(*SCORE_COLUMNS)

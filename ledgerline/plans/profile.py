@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.activity import flag, row_total
 from ledgerline.functions.dates import month_start
-from ledgerline.functions.numeric import ratio, round_half_away
+from ledgerline.functions.numeric import exact_avg, ratio, round_half_away
+from ledgerline.operators.joins import left_join_null_keys_apart
 from ledgerline.sources.files import Sources
 
 
 def _raw_bridge(src: Sources) -> DataFrame:
-    """Raw billing accounts LEFT JOIN raw external app accounts on the bridge id."""
+    """Raw billing accounts LEFT JOIN raw external app accounts on the bridge id; rows without
+    a bridge id skip the join."""
     apps = src.app_accounts.where(F.col("is_internal_account") == F.lit(False)).select(
         "billing_account_bridge_id", "app_account_id"
     )
     ba = src.billing_accounts.where(F.col("billing_account_id").isNotNull()).select(
         "billing_account_id", "billing_account_bridge_id"
     )
-    return ba.join(apps, on="billing_account_bridge_id", how="left")
+    return left_join_null_keys_apart(ba, apps, "billing_account_bridge_id", ["app_account_id"])
 
 
 def multi_app_accounts(src: Sources) -> DataFrame:
@@ -35,18 +37,24 @@ def multi_app_accounts(src: Sources) -> DataFrame:
 def bridge_profile(src: Sources) -> DataFrame:
     """Rows, distinct billing accounts, distinct app accounts and distinct combinations
     (keyed as ``billing-app`` text, ``none`` for no app) of the raw bridge."""
-    b = _raw_bridge(src)
     combo = F.concat(
         F.col("billing_account_id").cast("string"),
         F.lit("-"),
         F.coalesce(F.col("app_account_id").cast("string"), F.lit("none")),
     )
-    return b.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.countDistinct("billing_account_id").alias("unique_billing_accounts"),
-        F.countDistinct("app_account_id").alias("unique_app_accounts"),
-        F.countDistinct(combo).alias("unique_combinations"),
+    # distinct combinations first, then plain counts of them: no row-multiplying Expand
+    links = (
+        _raw_bridge(src)
+        .groupBy(combo.alias("combination"))
+        .agg(F.count(F.lit(1)).alias("n"), F.first("billing_account_id").alias("b"), F.first("app_account_id").alias("a"))
     )
+    per_billing = links.groupBy("b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("links"))
+    apps = links.where(F.col("a").isNotNull()).groupBy("a").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)))
+    return per_billing.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.count("b").alias("unique_billing_accounts"),
+        F.coalesce(F.sum("links"), F.lit(0)).alias("unique_combinations"),
+    ).withColumn("unique_app_accounts", apps.scalar())
 
 
 def arr_movement_by_month(arr_monthly: DataFrame) -> DataFrame:
@@ -215,7 +223,7 @@ def co_adoption(src: Sources) -> DataFrame:
         ),
     ).agg(
         F.count(F.lit(1)).alias("account_months"),
-        round_half_away(F.avg(rate), 2).alias("avg_active_user_rate"),
+        round_half_away(exact_avg(rate, 10**9), 2).alias("avg_active_user_rate"),
     )
 
 

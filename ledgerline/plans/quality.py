@@ -20,7 +20,11 @@ from ledgerline.rules import Rules
 def dq_unmatched_billing(st: Staged) -> DataFrame:
     """Check 1: billing accounts whose bridge id matches no app account (NULL ids included)."""
     apps = st.app_accounts.select("billing_account_bridge_id").where(F.col("billing_account_bridge_id").isNotNull())
-    unmatched = st.billing_accounts.join(apps.distinct(), on="billing_account_bridge_id", how="left_anti")
+    bridge = st.billing_accounts.select("billing_account_bridge_id")
+    keyed = bridge.where(F.col("billing_account_bridge_id").isNotNull())
+    unmatched = keyed.join(apps.distinct(), on="billing_account_bridge_id", how="left_anti")
+    # accounts without a bridge id match nothing: they are counted without a join
+    unmatched = unmatched.unionByName(bridge.where(F.col("billing_account_bridge_id").isNull()))
     return unmatched.agg(F.count(F.lit(1)).alias("billing_accounts_without_app_account"))
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.activity import flag
 from ledgerline.functions.dates import as_of_month, months_into_period
-from ledgerline.functions.numeric import round_half_away
+from ledgerline.functions.numeric import exact_avg, round_half_away
 from ledgerline.rules import Rules, as_date
-from ledgerline.session import partition_values
+from ledgerline.session import latest_partition
 
 ACCOUNT_SIGNAL_COLUMNS = (
     "snapshot_month",
@@ -171,7 +171,9 @@ def retention_cohorts(
 
 
 def _profile(rows: DataFrame, keys: list[str], averages) -> DataFrame:
-    aggs = [round_half_away(F.avg(src), 2).alias(out) for out, src in averages]
+    # rates to nine decimals and whole counts: sums that don't depend on the order of rows
+    mean = {"active_user_rate": exact_avg(F.col("active_user_rate"), 10**9)}
+    aggs = [round_half_away(mean.get(src, F.sum(src) / F.count(src)), 2).alias(out) for out, src in averages]
     aggs.append(F.countDistinct("billing_account_id").alias("accounts"))
     return rows.groupBy(*keys).agg(*aggs)
 
@@ -204,13 +206,12 @@ def product_insights_monthly(mart: DataFrame) -> DataFrame:
 def latest_month(mart: DataFrame) -> Column:
     """The latest snapshot month as a column expression.
 
-    For the month-partitioned mart table it is a literal taken from the month folder
-    names (file metadata), so the period filters prune month folders at planning time;
-    for any other DataFrame it is a scalar sub-query over the rows (one small job, no
-    join)."""
-    months = partition_values(mart, "snapshot_month")
-    if months:
-        return F.lit(dt.date.fromisoformat(max(months)))
+    For the month-partitioned mart table it is a literal noted when the table was read
+    back, so the period filters prune month folders at planning time; for any other
+    DataFrame it is a scalar sub-query over the rows (one small job, no join)."""
+    latest = latest_partition(mart, "snapshot_month")
+    if latest is not None:
+        return F.lit(latest)
     return mart.agg(F.max("snapshot_month")).scalar()
 
 
@@ -261,6 +262,7 @@ def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFram
     return recent.select(F.explode(names).alias("period_name"), *cols)
 
 
+_ACCOUNT_FLAGS = ("healthy", "at_risk", "under_adopted", "expansion_ready")
 _BILLING_MEASURES = ("ending_arr", "arr_change", "active_users", "total_activity", "total_meetings")
 
 
@@ -273,9 +275,8 @@ def leadership_summary(
     """Q7: per period and segment, plus an ``overall`` row per period.
 
     Level 1 collapses rows to (period, segment, account) with sums and max flags, so
-    the distinct account counts become plain sums; level 2 computes both groupings
-    in one pass with GROUPING SETS. ``overall`` comes from ``grouping()``, so a real
-    NULL segment stays its own group.
+    the distinct account counts become plain sums. The overall rows merge level 1 over
+    the segments first, so an account with two segments counts once.
 
     Options (off by default, the SQL's semantics): ``dedup_app_rows`` counts the
     billing-level measures once per account-month instead of once per app row;
@@ -284,72 +285,58 @@ def leadership_summary(
     """
     rows = period_rows(mart, rolling_last_quarter)
     seg = F.col("lifecycle_segment")
-    label_flags = [
-        F.max(flag(seg == F.lit("healthy"))).alias("healthy"),
-        F.max(flag(seg == F.lit("at_risk"))).alias("at_risk"),
-        F.max(flag(seg == F.lit("under_adopted"))).alias("under_adopted"),
-        F.max(flag(F.col("is_expansion_ready") == 1)).alias("expansion_ready"),
-    ]
-    keys = ["period_name", "customer_segment", "billing_account_id"]
+    flags = [F.max(flag(seg == F.lit(v))).alias(v) for v in ("healthy", "at_risk", "under_adopted")]
+    flags.append(F.max(flag(F.col("is_expansion_ready") == 1)).alias("expansion_ready"))
+    by_segment, overall = ["period_name", "customer_segment"], ["period_name"]
     if dedup_app_rows or period_end_arr:
         # billing-level measures repeat on every app row of an account-month: keep one
-        per_month = rows.groupBy(*keys, "snapshot_month").agg(
-            *[F.max(c).alias(c) for c in _BILLING_MEASURES],
-            F.count(F.lit(1)).alias("app_rows"),
-            *[F.max(flag(seg == F.lit(v))).alias(v) for v in ("healthy", "at_risk", "under_adopted")],
-            F.max(flag(F.col("is_expansion_ready") == 1)).alias("expansion_ready"),
+        months = rows.groupBy(*by_segment, "billing_account_id", "snapshot_month").agg(
+            *[F.max(c).alias(c) for c in _BILLING_MEASURES], F.count(F.lit(1)).alias("app_rows"), *flags
         )
-        weight = F.lit(1) if dedup_app_rows else F.col("app_rows")
-        per_account = per_month.groupBy(*keys).agg(
-            (F.max_by("ending_arr", "snapshot_month") if period_end_arr else F.sum(F.col("ending_arr") * weight)).alias(
-                "ending_arr"
-            ),
-            F.sum(F.col("arr_change") * weight).alias("arr_change"),
-            F.sum(F.col("active_users") * weight).alias("active_users"),
-            F.sum(weight).alias("row_count"),
-            F.sum(F.col("total_activity") * weight).alias("total_activity"),
-            F.sum(F.col("total_meetings") * weight).alias("total_meetings"),
-            *[F.max(v).alias(v) for v in ("healthy", "at_risk", "under_adopted", "expansion_ready")],
+        all_months = months.groupBy(*overall, "billing_account_id", "snapshot_month").agg(
+            *[F.max(c).alias(c) for c in (*_BILLING_MEASURES, *_ACCOUNT_FLAGS)], F.sum("app_rows").alias("app_rows")
         )
+        weight = F.lit(1) if dedup_app_rows else F.col("app_rows")
+
+        def per_account(frame: DataFrame, keys: list[str]) -> DataFrame:
+            sums = {c: F.sum(F.col(c) * weight) for c in _BILLING_MEASURES} | {"row_count": F.sum(weight)}
+            if period_end_arr:
+                sums["ending_arr"] = F.max_by("ending_arr", "snapshot_month")
+            return frame.groupBy(*keys, "billing_account_id").agg(
+                *[v.alias(c) for c, v in sums.items()], *[F.max(c).alias(c) for c in _ACCOUNT_FLAGS]
+            )
+
+        accounts, all_accounts = per_account(months, by_segment), per_account(all_months, overall)
     else:
-        per_account = rows.groupBy(*keys).agg(
-            F.sum("ending_arr").alias("ending_arr"),
-            F.sum("arr_change").alias("arr_change"),
-            F.sum("active_users").alias("active_users"),
-            F.count(F.lit(1)).alias("row_count"),
-            F.sum("total_activity").alias("total_activity"),
-            F.sum("total_meetings").alias("total_meetings"),
-            *label_flags,
+        accounts = rows.groupBy(*by_segment, "billing_account_id").agg(
+            *[F.sum(c).alias(c) for c in _BILLING_MEASURES], F.count(F.lit(1)).alias("row_count"), *flags
+        )
+        # an account's segments (few) and their total come from one aggregate, so the mart is read once
+        names = [*_BILLING_MEASURES, "row_count", *_ACCOUNT_FLAGS]
+        merged = accounts.groupBy(*overall, "billing_account_id").agg(
+            F.collect_list(F.struct(F.lit(False).alias("_all"), "customer_segment", *names)).alias("parts"),
+            *[F.sum(c).alias(c) for c in (*_BILLING_MEASURES, "row_count")],
+            *[F.max(c).alias(c) for c in _ACCOUNT_FLAGS],
         )
-    summary = per_account.groupingSets(
-        [["period_name", "customer_segment"], ["period_name"]], "period_name", "customer_segment"
-    ).agg(
+        total = F.struct(F.lit(True).alias("_all"), F.lit("overall").alias("customer_segment"), *names)
+        both = merged.select("period_name", F.explode(F.concat("parts", F.array(total))).alias("p"))
+        return _summary(both.select("period_name", "p.*"), [*by_segment, "_all"])
+    everyone = _summary(all_accounts, overall).withColumn("customer_segment", F.lit("overall"))
+    return _summary(accounts, by_segment).unionByName(everyone)
+
+
+def _summary(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals over per-account rows (one row per account and ``keys``)."""
+    out = frame.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_accounts"),
         round_half_away(F.sum("ending_arr"), 2).alias("ending_arr"),
         round_half_away(F.sum("arr_change"), 2).alias("arr_change"),
         round_half_away(F.sum("active_users") / F.sum("row_count"), 2).alias("avg_active_users"),
         round_half_away(F.sum("total_activity"), 2).alias("total_activity"),
         round_half_away(F.sum("total_meetings"), 2).alias("total_meetings"),
-        F.sum("healthy").alias("healthy"),
-        F.sum("at_risk").alias("at_risk"),
-        F.sum("under_adopted").alias("under_adopted"),
-        F.sum("expansion_ready").alias("expansion_ready"),
-        F.grouping("customer_segment").alias("_overall"),
-    )
-    return summary.select(
-        "period_name",
-        F.when(F.col("_overall") == 1, F.lit("overall")).otherwise(F.col("customer_segment")).alias("customer_segment"),
-        "total_accounts",
-        "ending_arr",
-        "arr_change",
-        "avg_active_users",
-        "total_activity",
-        "total_meetings",
-        "healthy",
-        "at_risk",
-        "under_adopted",
-        "expansion_ready",
+        *[F.sum(c).alias(c) for c in _ACCOUNT_FLAGS],
     )
+    return out.drop("_all")
 
 
 # ---------------------------------------------------------------- label views

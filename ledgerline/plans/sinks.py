@@ -10,20 +10,34 @@ from pyspark.sql import functions as F
 from ledgerline.plans import reports
 from ledgerline.rules import Rules
 
-# Report name -> sort keys of the exported file.
+# Report name -> sort keys of the exported file ("-": descending).
 REPORT_ORDER = {
     "account_lifecycle_signals": ("snapshot_month", "billing_account_id"),
     "retention_analysis": ("customer_segment", "retention_status"),
+    "retention_analysis_3way": ("customer_segment", "retention_status"),
     "product_insights_monthly": ("customer_segment", "snapshot_month"),
     "leadership_summary": ("customer_segment", "period_name"),
+    "lifecycle_breakdown": ("snapshot_month", "lifecycle_segment", "recommended_action"),
+}
+CHECK_ORDER = {
+    "dq_unmatched_billing": ("billing_accounts_without_app_account",),
+    "dq_duplicate_bridge": ("billing_account_id", "app_account_id"),
+    "dq_repeat_churn": ("-churn_months", "billing_account_id"),
+    "dq_usage_after_zero_arr": ("billing_account_id", "snapshot_month"),
+    "dq_zero_usage_retained": ("activity_status",),
+    "dq_multi_movement": ("-distinct_movement_types", "billing_account_id"),
+    "dq_unique_keys": ("model",),
+    "dq_not_null": ("model", "column_name"),
+    "dq_accepted_values": ("column_name",),
 }
 
 
 def write_csv_report(df: DataFrame, path: str, order_by: tuple[str, ...], single_file: bool = False) -> None:
-    """Sorted CSV with a header (NULLs last, as SQL sorts ascending). The sort is a
+    """Sorted CSV with a header (NULLs last; "-" before a key: descending). The sort is a
     range shuffle, so part files are in order; ``single_file`` is only for reports whose
     size is bounded by their group keys, never for account-level rows."""
-    out = df.orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    keys = [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in order_by]
+    out = df.orderBy(*keys)
     if single_file:
         out = out.coalesce(1)  # keeps the range order: partitions are concatenated in index order
     out.write.mode("overwrite").option("header", True).csv(path)
@@ -42,13 +56,15 @@ def write_mart(mart: DataFrame, path: str) -> None:
 
 
 def export_reports(mart: DataFrame, as_of: dt.date | str, out_dir: str, rules: Rules = Rules()) -> dict[str, str]:
-    """Write the four report files: account signals (Q1/Q4/Q5), retention (Q2/Q3),
-    product insights (Q6) and the leadership summary (Q7)."""
+    """Write the report files: account signals (Q1/Q4/Q5), retention (Q2/Q3, and with three
+    outcomes), product insights (Q6), the leadership summary (Q7) and the label breakdown."""
     frames = {
         "account_lifecycle_signals": reports.account_lifecycle_signals(mart),
         "retention_analysis": reports.retention_analysis(mart, as_of, rules),
+        "retention_analysis_3way": reports.retention_analysis(mart, as_of, rules, with_contracted=False),
         "product_insights_monthly": reports.product_insights_monthly(mart),
         "leadership_summary": reports.leadership_summary(mart),
+        "lifecycle_breakdown": reports.lifecycle_breakdown(mart),
     }
     paths = {}
     for name, df in frames.items():

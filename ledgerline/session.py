@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-import uuid
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job here relies on: UTC dates, AQE with skew handling, no UI.
 # Broadcasts only on *measured* sizes: planning-time estimates are off (disabled), and
@@ -33,6 +33,13 @@ DEFAULT_CONF = {
 }
 
 
+def apply_sql_conf(spark: SparkSession) -> None:
+    """Set the runtime SQL settings of ``DEFAULT_CONF`` on a session built by the submitter."""
+    for key, value in DEFAULT_CONF.items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app_name: str = "ledgerline") -> SparkSession:
     """A local session for tests and the bench; on a cluster the submitter builds the session."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app_name)
@@ -73,12 +80,15 @@ CODE_VERSION = _code_version()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Use the session's checkpoint folder; only when none is configured (tests, local bench)
-    create a fresh local one."""
+    """Use the session's checkpoint folder. Only a local session (tests, local bench) without
+    one gets a fresh local folder; on a cluster plans then stay lazy and nothing is written."""
     existing = checkpoint_dir(spark)
     if existing:
         return existing
     try:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            return None
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir="/tmp"))
         return spark.sparkContext.getCheckpointDir()
     except Exception:  # a remote (Connect) session: plans stay lazy, nothing is written
@@ -150,17 +160,21 @@ def materialize(
                 writer.parquet(path)
         _WRITTEN[cache_key] = path
     path = _WRITTEN[cache_key]
-    back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return read_back(spark, path, df.schema, partition_by)
+
+
+def read_back(spark: SparkSession, path: str, schema, partition_by: str | None) -> DataFrame:
+    """A written table, with the latest value of its partition column noted on it.
+
+    The value is one row computed on the executors from the partition values alone. It is
+    set on this exact DataFrame only: a filtered or projected child is a new object without
+    it, so its rows are never described by it."""
+    back = spark.read.schema(schema).parquet(path).select(*schema.names)
     if partition_by:
-        # Partition values from the folder names of the written files (file metadata, no
-        # data read). Set on this exact DataFrame only: a filtered or projected child is a
-        # new object without it, so its rows are never described by these values.
-        pattern = re.compile(rf"/{re.escape(partition_by)}=([^/]+)/")
-        values = {m.group(1) for m in (pattern.search(f) for f in back.inputFiles()) if m}
-        back._ledgerline_partition_values = {partition_by: sorted(values)}
+        back._ledgerline_latest = {partition_by: back.agg(F.max(partition_by)).first()[0]}
     return back
 
 
-def partition_values(df: DataFrame, column: str) -> list[str] | None:
-    """Partition values of a table returned by ``materialize`` itself, else None."""
-    return getattr(df, "_ledgerline_partition_values", {}).get(column)
+def latest_partition(df: DataFrame, column: str):
+    """Largest value of the partition column of a table returned by ``read_back`` itself, else None."""
+    return getattr(df, "_ledgerline_latest", {}).get(column)

@@ -43,7 +43,16 @@ def read_csv_sources(
     return Sources(**frames)
 
 
-def read_parquet_sources(spark: SparkSession, directory: str) -> Sources:
-    """``{directory}/{name}`` parquet tables (for example written by the streaming ingest)."""
-    frames = {name: spark.read.parquet(f"{directory.rstrip('/')}/{name}") for name in SOURCE_NAMES}
+def read_parquet_sources(spark: SparkSession, directory: str, id_type: T.DataType = T.StringType()) -> Sources:
+    """``{directory}/{name}`` parquet tables (for example written by the streaming ingest)
+    with fixed schemas; files whose columns have other types are an error."""
+    schemas = source_schemas(id_type)
+    frames = {}
+    for name in SOURCE_NAMES:
+        path = f"{directory.rstrip('/')}/{name}"
+        found = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+        wrong = [f.name for f in schemas[name] if found.get(f.name) != f.dataType]
+        if wrong:
+            raise ValueError(f"{path}: missing or differently typed columns: {', '.join(wrong)}")
+        frames[name] = spark.read.schema(schemas[name]).parquet(path)
     return Sources(**frames)

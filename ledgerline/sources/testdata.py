@@ -165,19 +165,22 @@ def arr_daily(orders: DataFrame) -> DataFrame:
     )
 
 
-def inputs_key(sf_dir: str) -> str:
-    """Identity of the input tables: path, size and modification time of each file."""
-    import os
+def inputs_key(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the input tables: path, length and modification time of every file, from
+    the tables' own file system and folded into one number (the order doesn't matter)."""
+    import hashlib
 
-    parts = [sf_dir]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    key = 0
     for name in ("customer", "orders", "lineitem"):
-        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            st = os.stat(path)
-            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:  # remote storage: the path alone identifies it
-            parts.append(name)
-    return "|".join(parts)
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        files = fs.listFiles(path, True) if fs.exists(path) else None
+        while files is not None and files.hasNext():
+            f = files.next()
+            text = f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}"
+            key ^= int.from_bytes(hashlib.sha1(text.encode()).digest(), "big")
+    return f"{sf_dir}|{key:x}"
 
 
 def testdata_sources(spark: SparkSession, sf_dir: str, materialized: bool = False) -> Sources:
@@ -201,6 +204,6 @@ def testdata_sources(spark: SparkSession, sf_dir: str, materialized: bool = Fals
     if materialized:
         from ledgerline.session import materialize
 
-        key = inputs_key(sf_dir)
+        key = inputs_key(spark, sf_dir)
         frames = {name: materialize(df, f"src-{name}", key) for name, df in frames.items()}
     return Sources(**frames)

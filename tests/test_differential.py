@@ -56,6 +56,10 @@ def random_tables(seed: int) -> dict[str, list[tuple]]:
                 _maybe(rng, _day(rng, dt.date(1999, 1, 1), 900), 0.1),
             )
         )
+    # repeated billing ids with another bridge, segment or date
+    for b in range(1, n_billing + 1, 6):
+        billing.append((b, f"Acct {b % 45}", rng.choice([b, b + 1, None]), rng.choice(["Small", "Large", None]), _day(rng)))
+    billing.append(billing[0])
     bridges = [r[2] for r in billing if r[2] is not None] + [5000, 5001]
     apps = []
     for a in range(1, n_apps + 1):

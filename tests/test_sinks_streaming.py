@@ -68,9 +68,20 @@ def test_command_line_export(spark, tmp_path):
     assert sorted(p.name for p in (out / "reports").iterdir()) == [
         "account_lifecycle_signals",
         "leadership_summary",
+        "lifecycle_breakdown",
         "product_insights_monthly",
         "retention_analysis",
+        "retention_analysis_3way",
     ]
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
+    # checks: descending count with a tie-break key, and uncapped
+    churn = spark.read.option("header", True).csv(str(out / "checks" / "dq_repeat_churn")).collect()
+    order = [(-int(r.churn_months), int(r.billing_account_id)) for r in churn]
+    assert order == sorted(order) and len(order) > 1
+    late = spark.read.option("header", True).csv(str(out / "checks" / "dq_usage_after_zero_arr"))
+    assert late.count() == mart.where("ending_arr = 0 AND total_activity > 0").count() > 20
+    assert {"dq_unique_keys", "dq_not_null", "dq_accepted_values"} <= {p.name for p in (out / "checks").iterdir()}
     rc = spark.read.option("header", True).csv(str(out / "checks" / "dq_unmatched_billing")).collect()
     assert int(rc[0][0]) > 0
 
@@ -98,8 +109,38 @@ def test_streamed_daily_feeds_build_the_same_mart(spark, tmp_path):
             spark, name, str(drop / "*"), str(tables / name), str(tmp_path / "ckpt" / name), id_type=T.LongType()
         )
         q.awaitTermination(300)
-    streamed = read_parquet_sources(spark, str(tables))
+    streamed = read_parquet_sources(spark, str(tables), T.LongType())
     a = lifecycle_mart(build_models(streamed), ctx.as_of)
     b = lifecycle_mart(build_models(src), ctx.as_of)
     assert a.count() == b.count() == 1553
     assert a.exceptAll(b.select(*a.columns)).count() == 0
+
+
+def test_command_line_sees_new_inputs(spark, tmp_path):
+    """A second run in the same session rebuilds the mart from the inputs as they are then."""
+    from ledgerline.__main__ import main
+
+    ctx = catalog.Context(spark, SF)
+    tables, out = tmp_path / "tables", tmp_path / "out"
+    args = ["--parquet", str(tables), "--as-of", "2001-08-01", "--out", str(out), "--id-type", "bigint"]
+    for name in ("billing_accounts", "app_accounts", "app_users", "app_usage_daily"):
+        getattr(ctx.src, name).write.parquet(str(tables / name))
+    ctx.src.arr_daily.where("date < DATE '2001-01-01'").write.parquet(str(tables / "arr_daily"))
+    assert main(args) == 0
+    first = spark.read.parquet(str(out / "mart")).count()
+    ctx.src.arr_daily.where("date >= DATE '2001-01-01'").write.mode("append").parquet(str(tables / "arr_daily"))
+    assert main(args) == 0
+    assert spark.read.parquet(str(out / "mart")).count() == 1553 > first
+
+
+def test_parquet_sources_have_fixed_types(spark, tmp_path):
+    import pytest
+
+    from ledgerline.sources import read_parquet_sources
+
+    ctx = catalog.Context(spark, SF)
+    for name in ("billing_accounts", "app_accounts", "app_users", "app_usage_daily", "arr_daily"):
+        getattr(ctx.src, name).limit(5).write.parquet(str(tmp_path / name))
+    assert read_parquet_sources(spark, str(tmp_path), T.LongType()).arr_daily.count() == 5
+    with pytest.raises(ValueError, match="billing_account_id"):
+        read_parquet_sources(spark, str(tmp_path))
