@@ -66,10 +66,18 @@ def _shipped(application: str, spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow``, with this package's code sent to the executors once per application."""
+    """``df.mapInArrow``, with this package's code sent to the executors once per application.
+
+    At the end of a task its Python worker, which stays for later ones, gives the memory of
+    the batches back to the system."""
     spark = df.sparkSession
     _shipped(spark.sparkContext.applicationId, spark)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def held_out(id_col: str) -> F.Column:

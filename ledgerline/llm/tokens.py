@@ -9,13 +9,16 @@ from tokenizers import Tokenizer
 
 from ledgerline.llm.common import ASCII_LOWER
 
-#: distinct words whose ids a Python worker remembers (about 200 bytes each)
-CACHE_WORDS = 500_000
+#: a Python worker remembers the ids of at most twice as many words (about 200 bytes each)
+CACHE_WORDS = 60_000
+#: bytes of the longest word that is remembered
+LONGEST_CACHED = 64
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 class _WordIds(dict):
-    """Ids, as bytes, of a run of non-space bytes; filled on first use, emptied when full.
+    """Ids, as bytes, of a run of non-space bytes; filled on first use. When full, the words
+    become the older half, from which those still in use come back without being encoded again.
 
     ASCII punctuation after a word is a piece of its own, and a word of a-z only is left
     alone by the normaliser, so the model can be asked directly."""
@@ -23,26 +26,34 @@ class _WordIds(dict):
     def __init__(self, tokenizer: Tokenizer, dtype: np.dtype):
         super().__init__()
         self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(PUNCTUATION)
-        text = word.decode()
-        if core and core != word and core[-1:].isalnum():
-            ids = self[core] + self[word[len(core) :]]
-        elif text.isascii() and text.isalpha():
-            ids = np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encode(word)
+        if len(word) > LONGEST_CACHED:
+            return ids
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
+    def _encode(self, word: bytes) -> bytes:
+        core = word.rstrip(PUNCTUATION)
+        text = word.decode()
+        if core and core != word and core[-1:].isalnum():
+            return self[core] + self[word[len(core) :]]
+        if text.isascii() and text.isalpha():
+            return np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
 
 class Encoder:
     """Whole texts to ids. ``word_level`` says that the tokenizer lower-cases, drops white
     space, joins nothing across it and separates letters from punctuation, as
-    ``word_bpe_49k.json`` does: then each distinct word is encoded once per worker."""
+    ``word_bpe_49k.json`` does: then a word that comes back is rarely encoded again."""
 
     def __init__(self, path: str, word_level: bool):
         self.tokenizer = Tokenizer.from_file(path)
