@@ -91,18 +91,6 @@ def held_out(id_col: str) -> F.Column:
 HOT_SHARE = 1000
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined to the one row that ``groups`` has for their ``key``.
-
-    ``size`` is the group's row count. The fewer than HOT_SHARE groups that hold over
-    1/HOT_SHARE of the rows are broadcast, so their rows never move; the others meet in
-    a shuffle join in which no key can have more than that share."""
-    limit = total // HOT_SHARE
-    hot = F.broadcast(groups.where(F.col(size) > limit))
-    cold = groups.where(F.col(size) <= limit)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
-
-
 #: Sides of at most this many narrow rows (a few dozen bytes each) are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -111,3 +99,17 @@ def narrow_side(side: DataFrame, rows: int) -> DataFrame:
     """``side`` marked for broadcast when its counted ``rows`` are few; else left to a shuffle join."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", counted: int | None = None) -> DataFrame:
+    """``rows`` joined to the one row that ``groups`` has for their ``key``.
+
+    ``size`` is the group's row count. The fewer than HOT_SHARE groups that hold over
+    1/HOT_SHARE of the rows are broadcast, so their rows never move; the others meet in
+    a shuffle join in which no key can have more than that share. All groups are broadcast
+    when they are ``counted`` and few."""
+    if counted is not None and counted <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, how)
+    limit = total // HOT_SHARE
+    hot = F.broadcast(groups.where(F.col(size) > limit))
+    cold = groups.where(F.col(size) <= limit)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))

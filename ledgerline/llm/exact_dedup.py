@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACES, attach, narrow_side, written
+from ledgerline.llm.common import SPACES, attach, written
 
 PROBES = 2
 BITS_PER_ROW = 16
@@ -117,11 +117,11 @@ def exact_dedup(
     rows_that_stay = attach(probed(digests).where("__repeated"), groups, "text_sha256", "__n", total).where(stays)
     twins = written(rows_that_stay.groupBy("text_sha256").count().where("count > 1").select("text_sha256"), "exact-twins")
     marked = groups.join(twins.withColumn("__twins", F.lit(True)), "text_sha256", "left")
-    marked = written(marked.drop("__n").fillna(False, ["__twins"]), "exact-marked")
+    marked = written(marked.fillna(False, ["__twins"]), "exact-marked")
 
     rows = docs.select(F.struct("*").alias("__row"), id_col, text_col)
     rows = probed(with_digest(rows, text_col).drop(text_col))
-    found = rows.where("__repeated").join(narrow_side(marked, marked.count()), "text_sha256", "left")
+    found = attach(rows.where("__repeated"), marked, "text_sha256", "__n", total, "left", counted=marked.count())
     found = found.where(F.col("__twins").isNull() | stays)
     one = found.where("__twins").dropDuplicates(["text_sha256"])
     out = rows.where("not __repeated").select("__row").unionByName(found.where("__twins is null or not __twins").select("__row"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.llm.common import WORD, narrow_side, written
+from ledgerline.llm.common import WORD, attach, narrow_side, written
 
 # Weights in code-point order of the sources, repeating; share of all words; most copies.
 WEIGHTS = (5, 2, 1)
@@ -51,7 +51,7 @@ def with_size_and_hash(docs: DataFrame, id_col: str, text_col: str, source_col:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
-    """``__src``, ``source_size`` -> also ``target``: the budget shared by weight, where a
+    """``__src``, ``source_size``, ``__rows`` -> also ``target``: the budget shared by weight, where a
     source stops at COPIES times its size and the excess goes to the others by weight.
 
     Sorted by cap over weight, the capped sources come first; the first source whose share
@@ -78,7 +78,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFr
             ),
         )
         .withColumn("base", F.when(F.col("target") >= F.col("source_size"), 1).otherwise(0))
-        .select("__src", "source_size", "target", "base")
+        .select("__src", "source_size", "__rows", "target", "base")
     )
 
 
@@ -101,14 +101,14 @@ def _taken_before(round_: int) -> F.Column:
     return out
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame, sources: int, nearest: bool) -> DataFrame:
+def _threshold(rows: DataFrame, budgets: DataFrame, sources: int, total: int, nearest: bool) -> DataFrame:
     """For each source the hash at which its ``budget`` ends in ``rows`` (null: never) and the
     sum below it. The row at the end is taken only if that is ``nearest`` to the budget."""
-    state = budgets.select("__src", "budget", F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("bucket"))
+    state = budgets.select("__src", "__rows", "budget", F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("bucket"))
     done: list[DataFrame] = []
     shift = HASH_BITS
     while True:
-        inside = rows.join(narrow_side(state, sources), "__src").where(F.shiftright("__hash", shift) == F.col("bucket"))
+        inside = attach(rows, state, "__src", "__rows", total, counted=sources).where(F.shiftright("__hash", shift) == F.col("bucket"))
         shift -= LEVEL_BITS
         hist = inside.groupBy("__src", F.shiftright("__hash", shift).alias("at")).agg(
             F.sum("size").alias("words"), F.min("__hash").alias("lo"), F.max("__hash").alias("hi")
@@ -117,16 +117,16 @@ def _threshold(rows: DataFrame, budgets: DataFrame, sources: int, nearest: bool)
         upto = F.sum("words").over(Window.partitionBy("__src").orderBy("at")) + F.col("sum")
         over = F.col("upto") > F.col("budget")
         first = F.min(F.when(over, F.struct("at", (F.col("upto") - F.col("words")).alias("sum"), "lo", "hi", "words")))
-        found = hist.withColumn("upto", upto).groupBy("__src", "budget").agg(first.alias("f"), F.max("upto").alias("all"))
+        found = hist.withColumn("upto", upto).groupBy("__src", "__rows", "budget").agg(first.alias("f"), F.max("upto").alias("all"))
         found = written(
             found.select(
-                "__src", "budget", F.coalesce("f.sum", "all").alias("sum"), F.col("f.at").alias("bucket"),
+                "__src", "__rows", "budget", F.coalesce("f.sum", "all").alias("sum"), F.col("f.at").alias("bucket"),
                 F.col("f.lo").alias("threshold"), F.col("f.words").alias("words"), (F.col("f.lo") < F.col("f.hi")).alias("open"),
             ),
             "mix-level",
         )
         done.append(found.where("open is null or not open").select("__src", "threshold", "sum", "words", "budget"))
-        state = found.where("open").select("__src", "budget", "sum", "bucket")
+        state = found.where("open").select("__src", "__rows", "budget", "sum", "bucket")
         if shift == 0 or state.isEmpty():
             break
     out = done[0]
@@ -140,31 +140,31 @@ def _threshold(rows: DataFrame, budgets: DataFrame, sources: int, nearest: bool)
     )
 
 
-def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS) -> tuple[DataFrame, int]:
+def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS) -> tuple[DataFrame, int, int]:
     """The mixing table (one row per source: target, copies of every row, budgets and
-    thresholds) for ``rows`` (size, __hash, __src), and its number of rows."""
-    sizes = written(rows.groupBy("__src").agg(F.sum("size").alias("source_size")), "mix-sources")
-    sources = sizes.count()
+    thresholds) for ``rows`` (size, __hash, __src), its number of rows and that of ``rows``."""
+    sizes = written(rows.groupBy("__src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows")), "mix-sources")
+    sources, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0))).first()
     state = source_targets(sizes, weights).withColumn("__r0", F.col("target") - F.col("base") * F.col("source_size"))
     state = written(state, "mix-targets")
     for i in range(ROUNDS):
-        open_rows = rows.join(narrow_side(state, sources), "__src").where(_fits(i))
+        open_rows = attach(rows, state, "__src", "__rows", total, counted=sources).where(_fits(i))
         budget = F.col(f"__r{i}")
         if i == 0:
             large = written(open_rows.groupBy("__src").agg(F.sum("size").alias("__large")), "mix-large")
-            budgets = state.join(large, "__src").select("__src", (budget * F.col("__large") / F.col("source_size")).alias("budget"))
+            budgets = state.join(large, "__src").select("__src", "__rows", (budget * F.col("__large") / F.col("source_size")).alias("budget"))
         else:
-            budgets = state.select("__src", budget.alias("budget"))
-        found = _threshold(open_rows.select("__src", "size", "__hash"), budgets, sources, nearest=i == 0)
+            budgets = state.select("__src", "__rows", budget.alias("budget"))
+        found = _threshold(open_rows.select("__src", "size", "__hash"), budgets, sources, total, nearest=i == 0)
         found = found.withColumnRenamed("threshold", f"__t{i}")
         left = F.col(f"__r{i}") - F.coalesce("sum", F.lit(0))
         state = written(state.join(found, "__src", "left").withColumn(f"__r{i + 1}", left).drop("sum"), "mix-state")
-    return state, sources
+    return state, sources, total
 
 
-def _mixed(rows: DataFrame, state: DataFrame, sources: int) -> DataFrame:
+def _mixed(rows: DataFrame, state: DataFrame, sources: int, total: int) -> DataFrame:
     copies = F.col("base") + F.when(_taken_before(ROUNDS), 1).otherwise(0)
-    return rows.join(narrow_side(state, sources), "__src").withColumn("copies", copies)
+    return attach(rows, state, "__src", "__rows", total, counted=sources).withColumn("copies", copies)
 
 
 def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int]):
@@ -182,8 +182,8 @@ def mix(
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``size``, ``source_size``, ``target`` (of its
     source) and ``copies``, how often the mix takes it (0, 1 or 2)."""
-    rows, state, sources = _planned(docs, id_col, text_col, source_col, weights)
-    return _mixed(rows, state, sources).select(id_col, "size", "source_size", "target", "copies")
+    rows, state, sources, total = _planned(docs, id_col, text_col, source_col, weights)
+    return _mixed(rows, state, sources, total).select(id_col, "size", "source_size", "target", "copies")
 
 
 def mixture(
@@ -195,8 +195,8 @@ def mixture(
 ) -> DataFrame:
     """The mixed corpus: each row of ``docs``, with all its columns, as often as the mix
     takes it. The texts are read a second time and not shuffled."""
-    _, state, sources = _planned(docs, id_col, text_col, source_col, weights)
+    _, state, sources, total = _planned(docs, id_col, text_col, source_col, weights)
     rows = docs.select(F.struct("*").alias("__row"), id_col, text_col, source_col)
     rows = with_size_and_hash(rows, id_col, text_col, source_col).select("__row", "size", "__hash", "__src")
-    taken = _mixed(rows, state, sources).where("copies > 0")
+    taken = _mixed(rows, state, sources, total).where("copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup
+from ledgerline.llm import common, exact_dedup
 from tests.llm.conftest import DOCS, corpus
 
 
@@ -33,6 +33,13 @@ def test_rows_that_stay(docs):
     assert sorted(r.doc_id for r in found.collect()) == sorted(stays)
 
 
+def test_rows_that_stay_of_more_groups_than_are_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(r.doc_id for r in exact_dedup.exact_dedup(docs).collect()) == sorted(r[0] for r in brute(corpus()) if r[3])
+    twice = spark.createDataFrame([(7, "ab", None, None, 2)] * 5 + [(8, "c", None, None, 1)], DOCS)
+    assert sorted(r.doc_id for r in exact_dedup.exact_dedup(twice).collect()) == [7, 8]
+
+
 def test_one_hot_group(spark):
     # a third of all rows is one text: it is the broadcast group, the rest is joined
     rows = [(i, "same text" if i % 3 == 0 else f"text {i // 2}", None, None, None) for i in range(6000)]

@@ -8,7 +8,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import mixing
+from ledgerline.llm import common, mixing
 from tests.llm.conftest import DOCS, corpus
 
 
@@ -72,6 +72,12 @@ def test_matches_brute_force(spark, docs, level_bits, monkeypatch):
         assert r["size"] * r.copies == taken[i]
 
 
+def test_more_sources_than_are_broadcast(docs, monkeypatch):
+    few = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.copies for r in mixing.mix(docs).collect()} == few
+
+
 def test_taken_words_come_near_the_targets(docs):
     rows = mixing.mix(docs).collect()
     for target in {r.target for r in rows}:
