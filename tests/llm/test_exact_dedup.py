@@ -35,6 +35,7 @@ def test_rows_that_stay(docs):
 
 def test_rows_that_stay_of_more_groups_than_are_broadcast(spark, docs, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)  # so that some are hot and some are not
     assert sorted(r.doc_id for r in exact_dedup.exact_dedup(docs).collect()) == sorted(r[0] for r in brute(corpus()) if r[3])
     twice = spark.createDataFrame([(7, "ab", None, None, 2)] * 5 + [(8, "c", None, None, 1)], DOCS)
     assert sorted(r.doc_id for r in exact_dedup.exact_dedup(twice).collect()) == [7, 8]

@@ -75,6 +75,7 @@ def test_matches_brute_force(spark, docs, level_bits, monkeypatch):
 def test_more_sources_than_are_broadcast(docs, monkeypatch):
     few = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)  # so that some are hot and some are not
     assert {r.doc_id: r.copies for r in mixing.mix(docs).collect()} == few
 
 
