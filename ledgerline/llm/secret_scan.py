@@ -3,7 +3,8 @@
 ``candidates`` finds every run of 12 or more key-like characters with a digit and every
 quoted value after ``:`` or ``=``. Each is described by its length, character classes and
 entropy, by the character transitions of ordinary text, by how much of it dictionary words
-cover, by its path and by the words around it. Character transitions and dictionary come
+cover, by its path and by the words around it, but not by the name it is assigned to, from
+which the labels come. Character transitions and dictionary come
 from the text around the labelled findings. Spark ML trains the forest on at most
 ``SAMPLE_FINDINGS`` labelled findings (chosen by a hash of the id, none of them held out)
 and scores all candidates.
@@ -91,12 +92,6 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "
     return map_arrow(rows, scan, schema)
 
 
-def assigned_name(before: str) -> str:
-    """The name to which a candidate is assigned, if any."""
-    m = ASSIGNED.search(before)
-    return m[1].lower() if m else ""
-
-
 def label_by_rule(findings: DataFrame) -> DataFrame:
     """``findings`` with ``label``: 1 where the name before an assignment speaks of a credential, else 0."""
     name = F.lower(F.regexp_extract("before", ASSIGNED.pattern, 1))
@@ -142,19 +137,20 @@ def _bucket(word: str, n: int) -> int:
 
 
 def describe(candidate: str, before: str, after: str, path: str, language: Language) -> list[float]:
-    """The numbers that the forest sees."""
+    """The numbers that the forest sees: nothing of what ``label_by_rule`` reads, so the words
+    around are those before the assigned name."""
     n, low = len(candidate), candidate.lower()
     counts = Counter(candidate)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     share = lambda test: sum(c for ch, c in counts.items() if test(ch)) / n
-    near = [w.lower() for w in WORDS.findall(before)[-3:] + WORDS.findall(after)[:3]]
-    name = set(re.split(r"[_.\-]+", assigned_name(before)))
+    named = ASSIGNED.search(before)
+    near = [w.lower() for w in WORDS.findall(before[: named.start()] if named else before)[-3:] + WORDS.findall(after)[:3]]
     numbers = [
         n, entropy, len(counts) / n, share(str.isdigit), share(str.isupper), share(str.islower),
         share(lambda ch: ch in "+/=_-"), float(all(ch in "0123456789abcdef" for ch in low)), float(candidate.isdigit()),
         language.transition(low), language.coverage(low),
         float(before.rstrip("\"' ").endswith(("=", ":"))), float(before.endswith(("'", '"'))),
-        float(bool(name & CREDENTIAL)), float(any(w in CREDENTIAL for w in near)), float(any(w in HARMLESS for w in near)),
+        float(any(w in CREDENTIAL for w in near)), float(any(w in HARMLESS for w in near)),
         float(bool(TEST_PATH.search(path))),
     ]
     folder, around = [0.0] * PATH_BUCKETS, [0.0] * WORD_BUCKETS

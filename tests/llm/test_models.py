@@ -214,3 +214,24 @@ def test_language_of_ordinary_text():
     assert lang.coverage("riverlight") == 1.0 and lang.coverage("x9river") == pytest.approx(5 / 7)
     assert lang.transition("river") > lang.transition("9f3c1")
     assert lang.transition("a") == 0.0
+
+
+def test_the_forest_does_not_see_what_the_label_rule_reads():
+    lang = secret_scan.Language.of(["river stones river light", "light river"])
+    seen = [secret_scan.describe("9b0b3c6a43eb78aa", f"the river {name} = \"", "\" x", "src", lang) for name in ("token", "api_key", "colour", "commit")]
+    assert all(x == seen[0] for x in seen)
+
+
+def test_the_forest_overrules_the_name(spark):
+    rng = random.Random(9)
+    words = "stone river light house water green under morning silver quiet garden north letter".split()
+    made = lambda: "-".join(rng.choices(words, k=3)) + "-12"
+    rows = []
+    for i in range(400):
+        value, name = [(hex_(rng), "token"), (made(), "colour")][i % 2]
+        if zlib.crc32(str(i).encode()) % 5 == 0:  # held out: the names the other way round
+            name = "colour" if name == "token" else "token"
+        rows.append((i, f'{sentence(rng, 12)} {name} = "{value}" {sentence(rng, 12)}', None, None, None))
+    found = secret_scan.scan(secret_scan.label_by_rule(written(secret_scan.candidates(spark.createDataFrame(rows, DOCS)), "test-findings")))
+    tested = [r for r in found.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r.is_secret == (r.doc_id % 2 == 0) for r in tested) >= 0.95 * len(tested) > 50
