@@ -1,7 +1,9 @@
 """Secret scanning: wide candidate patterns, then a random forest that removes false positives.
 
-``candidates`` finds every run of 12 or more key-like characters with a digit and every
-quoted value after ``:`` or ``=``. Each is described by its length, character classes and
+``candidates`` finds every run of 12 or more key-like characters with a digit (a run ends at
+``=`` but for the padding of base64), every quoted value after ``:`` or ``=``, every value of
+whatever length, quoted or not, that is assigned to a name that speaks of a credential, and
+what follows ``Bearer``. Values that open a bracket are no values. Each is described by its length, character classes and
 entropy, by the character transitions of ordinary text, by how much of it dictionary words
 cover, by its path and by the words around it, but not by the name it is assigned to, from
 which the labels come. Character transitions and dictionary come
@@ -11,7 +13,8 @@ and scores all candidates.
 
 Labels are the caller's: a column ``label`` (1 secret, 0 not, null unknown) on the
 findings. ``label_by_rule`` is the rule that the registered query labels by: the value is
-assigned to a name that speaks of a credential.
+assigned to a name that speaks of a credential. What only such a name makes a candidate is
+labelled too but not learned from, as it has no like with another name.
 
 Defined results: a null or empty text has no findings; positions are code points; repeated rows give
 repeated findings; a null path is an empty one. With labels of only one kind, or none, every
@@ -45,30 +48,97 @@ DICTIONARY_WORDS = 4000
 PATH_BUCKETS, WORD_BUCKETS = 4, 12
 THRESHOLD = 0.5
 
-RUN = re.compile(r"[A-Za-z0-9+/=_\-]{12,}")
+RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![A-Za-z0-9+/=_\-\"']))?")
 QUOTED = re.compile(r"[:=]\s{0,3}([\"'])([^\"'\s]{8,400})\1")
 WORDS = re.compile(r"[^\W\d_]+")
 # Words that speak of a credential, and words that speak of something else.
-CREDENTIAL = frozenset("token secret password passwd pwd apikey key auth credential credentials bearer private access".split())
+CREDENTIAL = frozenset("token secret password passwd pwd apikey key auth credential credentials bearer private access authorization".split())
 HARMLESS = frozenset("sha md commit revision checksum digest hash uuid guid example sample test dummy fingerprint version id ref".split())
-ASSIGNED = re.compile(r"([A-Za-z][A-Za-z_.\-]{0,40})\s{0,3}[:=]\s{0,3}[\"']?$")
+NAME = r"([A-Za-z][A-Za-z0-9_.\-]{0,60})[\"']?\]?\s{0,8}"  # quoted keys and subscripts too
+SIGN = r"(?::=|=>|={1,3}|(?<!:):(?!:))"
+SCHEME = r"(?:(?i:bearer|basic)\s{1,3})"
+ASSIGNED = re.compile(rf"(?:{NAME}{SIGN}\s{{0,8}}[\"']?{SCHEME}?|(?<![A-Za-z0-9])((?i:bearer))\s{{1,3}})\Z")
+NAMED, SIGNS = re.compile(NAME + r"\Z"), re.compile(SIGN)
+VALUE = re.compile(
+    rf"[ \t]{{0,8}}(?:([\"']){SCHEME}?((?:(?!\1)[^\n\\]|\\.)+)\1|[\"']?{SCHEME}?((?![{{\[(\"'])(?:(?!=[\"'])\S)+))"
+)
+BEARER = re.compile(r"(?<![A-Za-z0-9])(?i:bearer)[ \t]{1,3}([A-Za-z0-9\-._~+/]+=*)")
+NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 TEST_PATH = re.compile(r"test|example|sample|doc|vendor|mock", re.I)
 
 
+def _credential(name: str) -> bool:
+    return any(w.lower() in CREDENTIAL for w in NAME_WORD.findall(name))
+
+
+def speaks_of_credential(before: str) -> bool:
+    """Whether the text before a candidate assigns it to a name that speaks of a credential."""
+    m = ASSIGNED.search(before)
+    return bool(m) and _credential(m[1] or m[2])
+
+
+def _bare_end(value: str) -> int:
+    """Length of an unquoted value without the signs that close what is around it."""
+    n = len(value)
+    extra = {close: value.count(close) - value.count(open_) for open_, close in ("()", "[]", "{}")}
+    while n and (value[n - 1] in ",;\"'" or extra.get(value[n - 1], 0) > 0):
+        n -= 1
+        extra[value[n]] = extra.get(value[n], 0) - 1
+    return n
+
+
+def _named(text: str) -> list[tuple[int, int]]:
+    """Spans of the values assigned to names that speak of a credential, or after ``Bearer``."""
+    out, at = [], 0
+    for sign in SIGNS.finditer(text):
+        if sign.start() < at:  # inside the value before
+            continue
+        name = NAMED.search(text, max(0, sign.start() - AROUND), sign.start())
+        value = VALUE.match(text, sign.end()) if name and _credential(name[1]) else None
+        if value and value[2]:
+            out.append(value.span(2))
+        elif value:
+            start = value.start(3)
+            out.append((start, start + _bare_end(value[3])))
+        if value:
+            at = out[-1][1]
+    for m in BEARER.finditer(text):
+        if any(map(str.isdigit, m[1])) or text[max(0, m.start() - 1) : m.start()] in ("'", '"'):
+            out.append(m.span(1))
+    return [(a, b) for a, b in out if b > a]
+
+
+def _spans(text: str | None) -> list[tuple[int, int, bool]]:
+    """Spans of the candidates in order and without overlaps, and whether only a name makes them candidates."""
+    text = text or ""
+    wide = {m.span(2) for m in QUOTED.finditer(text)}
+    for m in RUN.finditer(text):
+        if any(map(str.isdigit, m[0])):
+            padded = m[0][-1] != "=" or len(m[0]) % 4 == 0
+            wide.add((m.start(), m.end() if padded else m.start() + len(m[0].rstrip("="))))
+    first = lambda s: (s[0], -s[1])
+    named: list[tuple[int, int]] = []
+    for span in sorted(set(_named(text)), key=first):
+        if not named or span[0] >= named[-1][1]:
+            named.append(span)
+    # a named value goes before what overlaps it
+    out, at, last = [(*span, span not in wide) for span in named], 0, 0
+    for start, end in sorted(wide.difference(named), key=first):
+        while at < len(named) and named[at][1] <= start:
+            at += 1
+        if start >= last and (at == len(named) or named[at][0] >= end):
+            out.append((start, end, False))
+            last = end
+    return sorted(out)
+
+
 def find(text: str | None) -> list[tuple[int, int]]:
     """Spans of the candidates, in order and without overlaps."""
-    text = text or ""
-    spans = [m.span(2) for m in QUOTED.finditer(text)]
-    spans += [m.span() for m in RUN.finditer(text) if any(map(str.isdigit, m[0]))]
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if not out or start >= out[-1][1]:
-            out.append((start, end))
-    return out
+    return [(start, end) for start, end, _ in _spans(text)]
 
 
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per candidate: the columns in ``carry``, start, end, candidate, before, after, path."""
+    """One row per candidate: the columns in ``carry``, start, end, candidate, before, after, path, by_name."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(*carry, path.alias("__path"), F.col(text_col).alias("__text"))
     schema = rows.schema[:-2]
@@ -76,26 +146,36 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "
         schema = schema.add(name, "long")
     for name in ("candidate", "before", "after", "path"):
         schema = schema.add(name, "string")
+    schema = schema.add("by_name", "boolean")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = [], []
             for i, (path, text) in enumerate(zip(batch.column(len(carry)).to_pylist(), batch.column(len(carry) + 1).to_pylist())):
-                for a, b in find(text):
+                for a, b, by_name in _spans(text):
                     at.append(i)
-                    out.append((a, b, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path))
+                    out.append((a, b, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path, by_name))
             if out:
                 kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(carry)]]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, k) for v, k in zip(zip(*out), kinds))], names=schema.names)
 
     return map_arrow(rows, scan, schema)
 
 
 def label_by_rule(findings: DataFrame) -> DataFrame:
-    """``findings`` with ``label``: 1 where the name before an assignment speaks of a credential, else 0."""
-    name = F.lower(F.regexp_extract("before", ASSIGNED.pattern, 1))
-    return findings.withColumn("label", F.arrays_overlap(F.split(name, r"[_.\-]+"), F.array(*[F.lit(w) for w in sorted(CREDENTIAL)])).cast("int"))
+    """``findings`` with ``label``: 1 where the name before an assignment speaks of a credential,
+    else 0; and ``learn``: false where only that name makes it a candidate."""
+    names = findings.columns
+    at = names.index("before")
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [int(speaks_of_credential(x)) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*names, "label"])
+
+    schema = findings.select("*").schema.add("label", "integer")
+    return map_arrow(findings, label, schema).withColumn("learn", ~F.col("by_name"))
 
 
 @dataclass
@@ -182,6 +262,8 @@ def scan(
     """``findings`` (a written table with ``label``) without the texts: the id, ``start``, ``end``,
     ``candidate_sha256``, ``label``, ``probability`` and ``is_secret``."""
     known = findings.where(F.col("label").isNotNull() & ~held_out(id_col))
+    if "learn" in findings.columns:
+        known = known.where("learn")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     if len(sizes) < 2:
