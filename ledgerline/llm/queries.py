@@ -73,8 +73,9 @@ def op8_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = written(secret_scan.candidates(table(spark, sf_dir, "documents")), "secret-findings")
-    return secret_scan.scan(secret_scan.label_by_rule(found))
+    docs = table(spark, sf_dir, "documents")
+    found = written(secret_scan.candidates(docs), "secret-findings")
+    return secret_scan.scan(secret_scan.label_by_rule(found), docs=docs)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,18 @@
 ``candidates`` finds every run of 12 or more key-like characters with a digit (a run ends at
 ``=`` but for the padding of base64), every quoted value after ``:`` or ``=``, every value of
 whatever length, quoted or not, that is assigned to a name that speaks of a credential, and
-what follows ``Bearer``. Values that open a bracket are no values. Each is described by its length, character classes and
-entropy, by the character transitions of ordinary text, by how much of it dictionary words
-cover, by its path and by the words around it, but not by the name it is assigned to, from
-which the labels come. Character transitions and dictionary come
-from the text around the labelled findings. Spark ML trains the forest on at most
+what follows ``Bearer``. Values that open a bracket are no values. Each is described by its
+length, character classes and entropy, by the character transitions of ordinary text, by how
+much of it dictionary words cover, by its path and by the words around it, but not by the
+name it is assigned to, from which the labels come. Spark ML trains the forest on at most
 ``SAMPLE_FINDINGS`` labelled findings (chosen by a hash of the id, none of them held out)
 and scores all candidates.
 
+Dictionary and character transitions are counted over all documents without their candidates
+(``language_of``). The dictionary has every word of 4 to ``LONGEST_WORD`` letters that is at
+least ``LEAST_SHARE`` of all such words, the transitions every pair of letters that is at
+least that share of all pairs: so at most 1 / ``LEAST_SHARE`` of each are broadcast.
+
 Labels are the caller's: a column ``label`` (1 secret, 0 not, null unknown) on the
 findings. ``label_by_rule`` is the rule that the registered query labels by: the value is
 assigned to a name that speaks of a credential. What only such a name makes a candidate is
@@ -28,8 +32,9 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +49,17 @@ from ledgerline.llm.common import held_out, map_arrow, written
 SAMPLE_FINDINGS = 8000
 TREES, DEPTH, SEED = 24, 6, 11
 AROUND = 60
-DICTIONARY_WORDS = 4000
+# Least share of a word among the words of 4 to LONGEST_WORD letters, and of a pair among the pairs.
+LEAST_SHARE = 2e-6
+LONGEST_WORD = 64
+TASK_WORDS = 100_000
 PATH_BUCKETS, WORD_BUCKETS = 4, 12
 THRESHOLD = 0.5
 
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![A-Za-z0-9+/=_\-\"']))?")
 QUOTED = re.compile(r"[:=]\s{0,3}([\"'])([^\"'\s]{8,400})\1")
 WORDS = re.compile(r"[^\W\d_]+")
+ORDINARY = re.compile(r"(?<![^\W_])[^\W\d_]++(?!\d)")  # letters beside a digit are no word
 # Words that speak of a credential, and words that speak of something else.
 CREDENTIAL = frozenset("token secret password passwd pwd apikey key auth credential credentials bearer private access authorization".split())
 HARMLESS = frozenset("sha md commit revision checksum digest hash uuid guid example sample test dummy fingerprint version id ref".split())
@@ -178,9 +187,30 @@ def label_by_rule(findings: DataFrame) -> DataFrame:
     return map_arrow(findings, label, schema).withColumn("learn", ~F.col("by_name"))
 
 
+def _ordinary(text: str | None) -> list[str]:
+    """The words of a text outside its candidates."""
+    text, at, parts = text or "", 0, []
+    for start, end in find(text):
+        parts.append(text[at:start])
+        at = end
+    return ORDINARY.findall(" ".join([*parts, text[at:]]).lower())
+
+
+def _pairs(words: Counter) -> Counter:
+    pairs: Counter = Counter()
+    for w, n in words.items():
+        for p in map("".join, zip(w, w[1:])):
+            pairs[p] += n
+    return pairs
+
+
+def _in_dictionary(word: str) -> bool:
+    return 4 <= len(word) <= LONGEST_WORD
+
+
 @dataclass
 class Language:
-    """Ordinary text around the labelled findings: its words, and its character transitions."""
+    """Ordinary text: its words, and its character transitions."""
 
     words: frozenset[str]
     transitions: dict[str, float]
@@ -188,14 +218,26 @@ class Language:
 
     @classmethod
     def of(cls, texts: Sequence[str]) -> Language:
-        words, pairs = Counter(), Counter()
-        for text in texts:
-            for w in WORDS.findall(text.lower()):
-                words[w] += 1
-                pairs.update(map("".join, zip(w, w[1:])))
-        total = sum(pairs.values()) + 1
-        common = sorted((w for w in words if len(w) >= 4), key=lambda w: (-words[w], w))[:DICTIONARY_WORDS]
-        return cls(frozenset(common), {k: math.log(n / total) for k, n in pairs.items()}, math.log(0.5 / total))
+        words = Counter(w for text in texts for w in _ordinary(text))
+        pairs = _pairs(words)
+        words = Counter({w: n for w, n in words.items() if _in_dictionary(w)})
+        least = LEAST_SHARE * words.total()
+        return cls.counted((w for w, n in words.items() if n >= least), pairs, pairs.total())
+
+    @classmethod
+    def counted(cls, words: Iterable[str], pairs: Mapping[str, int], total: int) -> Language:
+        """From the dictionary, the counts of pairs and the number of all pairs."""
+        total += 1
+        known = {k: math.log(n / total) for k, n in pairs.items() if n >= LEAST_SHARE * total}
+        return cls(frozenset(words), known, math.log(0.5 * max(LEAST_SHARE, 1 / total)))
+
+    @cached_property
+    def lengths(self) -> dict[str, list[int]]:
+        """Lengths of the words by their first four letters, longest first."""
+        found: dict[str, set[int]] = {}
+        for w in self.words:
+            found.setdefault(w[:4], set()).add(len(w))
+        return {k: sorted(v, reverse=True) for k, v in found.items()}
 
     def transition(self, text: str) -> float:
         """Mean log share of the candidate's character pairs."""
@@ -206,12 +248,41 @@ class Language:
         """Share of the characters that dictionary words cover, longest word first from the left."""
         at = covered = 0
         while at < len(text):
-            size = next((n for n in range(min(12, len(text) - at), 3, -1) if text[at : at + n] in self.words), 0)
+            size = next((n for n in self.lengths.get(text[at : at + 4], ()) if text[at : at + n] in self.words), 0)
             covered += size
             at += size or 1
         return covered / len(text)
 
 
+def language_of(texts: DataFrame, text_col: str = "text") -> Language:
+    """The language of all rows of ``texts``, counted in tasks and added up in a shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
+        def counts() -> pa.RecordBatch:
+            rows = [(False, w, n) for w, n in words.items() if _in_dictionary(w)]
+            rows += [(True, p, n) for p, n in _pairs(words).items()]
+            columns = zip(*rows) if rows else ((), (), ())
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.bool_(), pa.string(), pa.int64()))], names=["pair", "key", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                words.update(_ordinary(text.as_py()))
+                if len(words) > TASK_WORDS:
+                    yield counts()
+        yield counts()
+
+    rows = map_arrow(texts.select(F.col(text_col).alias("text")), count, "pair boolean, key string, n long")
+    table = written(rows.groupBy("pair", "key").agg(F.sum("n").alias("n")), "secret-words")
+    totals = {r["pair"]: r["n"] for r in table.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    least = F.when(F.col("pair"), LEAST_SHARE * totals.get(True, 0)).otherwise(LEAST_SHARE * totals.get(False, 0))
+    found = table.where(F.col("n") >= least).toArrow().to_pydict()  # at most 2 / LEAST_SHARE rows
+    kept = list(zip(found["pair"], found["key"], found["n"]))
+    return Language.counted((k for pair, k, _ in kept if not pair), {k: n for pair, k, n in kept if pair}, totals.get(True, 0))
+
+
 def _bucket(word: str, n: int) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "big") % n
 
@@ -243,7 +314,7 @@ def describe(candidate: str, before: str, after: str, path: str, language: Langu
 
 def described(findings: DataFrame, language: Language) -> DataFrame:
     """``findings`` with ``features``."""
-    shared = findings.sparkSession.sparkContext.broadcast(language)  # at most DICTIONARY_WORDS words
+    shared = findings.sparkSession.sparkContext.broadcast(language)  # at most 1 / LEAST_SHARE words, and pairs
     names = findings.columns
     at = [names.index(c) for c in ("candidate", "before", "after", "path")]
 
@@ -257,10 +328,16 @@ def described(findings: DataFrame, language: Language) -> DataFrame:
 
 
 def scan(
-    findings: DataFrame, id_col: str = "doc_id", sample_findings: int = SAMPLE_FINDINGS, threshold: float = THRESHOLD
+    findings: DataFrame,
+    id_col: str = "doc_id",
+    sample_findings: int = SAMPLE_FINDINGS,
+    threshold: float = THRESHOLD,
+    docs: DataFrame | None = None,
+    text_col: str = "text",
 ) -> DataFrame:
     """``findings`` (a written table with ``label``) without the texts: the id, ``start``, ``end``,
-    ``candidate_sha256``, ``label``, ``probability`` and ``is_secret``."""
+    ``candidate_sha256``, ``label``, ``probability`` and ``is_secret``. Ordinary text is that of
+    ``docs``, or without them what stands around all findings."""
     known = findings.where(F.col("label").isNotNull() & ~held_out(id_col))
     if "learn" in findings.columns:
         known = known.where("learn")
@@ -275,8 +352,9 @@ def scan(
         share = F.create_map(*[F.lit(v) for y, n in sizes.items() for v in (y, half[y] / n)])
         place = F.pmod(F.xxhash64(id_col, "start"), F.lit(1 << 20))
         sample = written(known.where(place < F.lit(1 << 20) * share[F.col("label")]).limit(2 * sample_findings), "secret-sample")
-        around = sample.select(F.concat_ws(" ", "before", "after").alias("t")).orderBy("t").toArrow()
-        language = Language.of(around["t"].to_pylist())
+        if docs is None:
+            docs, text_col = findings.select(F.concat_ws(" ", "before", "after").alias("text")), "text"
+        language = language_of(docs, text_col)
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", probabilityCol="p")
         model = forest.fit(written(described(sample, language).select("features", F.col("label").cast("double")), "secret-train"))
         scored = model.transform(described(findings, language)).withColumn("probability", vector_to_array("p")[1])

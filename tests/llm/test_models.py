@@ -286,3 +286,22 @@ def test_values_found_by_their_name_are_labelled_but_not_learned(spark):
     rows = [(1, 'password = hunter2\ntoken = "9b0b3c6a43eb78aa"\nid = "9b0b3c6a43eb78ab"', None, None, None)]
     found = secret_scan.label_by_rule(secret_scan.candidates(spark.createDataFrame(rows, DOCS))).collect()
     assert [(r.candidate[:7], r.label, r.learn) for r in found] == [("hunter2", 1, False), ("9b0b3c6", 1, True), ("9b0b3c6", 0, True)]
+
+
+def test_dictionary_is_of_all_documents_and_not_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "TASK_WORDS", 500)
+    name = lambda i: "word" + "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(i, f'{name(2 * i)} {name(2 * i + 1)} token = "kestrel-{hex_(random.Random(i))}"', None, None, None) for i in range(3000)]
+    rows += [(3000, "extraordinarilylongword 12kestrel34", None, None, None), (3001, None, None, None, None)]
+    lang = secret_scan.language_of(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert lang.words == {name(i) for i in range(6000)} | {"token", "extraordinarilylongword"}
+    assert lang.coverage("extraordinarilylongword") == 1.0
+    assert lang == secret_scan.Language.of([r[1] for r in rows])
+    monkeypatch.setattr(secret_scan, "LEAST_SHARE", 0.01)
+    few = secret_scan.language_of(spark.createDataFrame(rows, DOCS))
+    assert few.words == {"token"} and len(few.transitions) <= 100
+
+
+def test_language_of_nothing(empty):
+    lang = secret_scan.language_of(empty)
+    assert not lang.words and lang.coverage("river") == 0 and lang.transition("river") == lang.unseen
