@@ -2,7 +2,12 @@
 
 The page becomes a tree in which block elements hold text blocks. Boilerplate subtrees
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers)
-are cut by element name, role and whole words of class and id. Each remaining block passes
+are cut by element name and role, and by class and id: when all words of a class or id name
+boilerplate (``ad``, ``cookie-notice``, ``main-nav``), unless it is the id of a title (on a
+heading, or the heading below says the same); when the name has another meaning too
+(``notice``, ``related``), only if the subtree is short or mostly links; when one word of a
+longer name does (``related-work``), only if it is mostly links or a short label. Headings
+and paragraphs stay when the name has another meaning too. Each remaining block passes
 points for its length and commas to its ancestors, halved at each step up; a node's score
 is discounted by its share of link text. The best node is the main container, widened to
 the ``article`` or ``main`` around it; its siblings stay when they score well themselves
@@ -44,6 +49,18 @@ CUT_WORDS = frozenset(
     " popup promo promoted promotion recommended related remark replies reply respond share sharing sidebar signup social sponsor"
     " sponsored subscribe subscription toolbar widget".split()
 )
+#: of these, words that a section or paragraph of the text may have as its name too
+AMBIGUOUS = frozenset(
+    "advertising consent discussion navigation notice promoted promotion recommended related remark share sharing social sponsor subscription".split()
+)
+#: their sections go whatever the heading says
+READERS = frozenset("ad ads adv advert adverts advertisement comment comments commentlist disqus".split())
+#: words that only say where or what kind of box it is
+FILLER = frozenset(
+    "top bottom left right main site page global primary secondary inner outer box list bar area wrap wrapper container block section"
+    " item items link links button buttons unit slot content js".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 #: a start tag closes an open element of these names up to the nearest of the second ones
 IMPLIED_END = {
@@ -57,6 +74,8 @@ IMPLIED_END = {
 }
 SIBLING_SHARE = 0.2
 LINK_LIMIT = 0.5
+#: characters of a short subtree with an ambiguous name, and of a label
+SHORT, LABEL = 200, 80
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -71,10 +90,11 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     """An element. ``items``: text pieces (text, inside a link) and child block nodes in page order."""
 
-    __slots__ = ("name", "parent", "cut", "items", "points", "chars", "linked")
+    __slots__ = ("name", "parent", "cut", "suspect", "items", "points", "chars", "linked")
 
-    def __init__(self, name: str, parent: Node | None, cut: bool = False):
+    def __init__(self, name: str, parent: Node | None, cut: bool = False, suspect: Sequence[tuple[str, bool, list[str]]] = ()):
         self.name, self.parent, self.cut = name, parent, cut
+        self.suspect = suspect
         self.items: list[tuple[str, bool] | Node] = []
         self.points = self.chars = self.linked = 0.0
 
@@ -82,29 +102,104 @@ class Node:
         return self.points * (1 - self.linked / self.chars) if self.chars else 0.0
 
 
-def _is_cut(name: str, attrs: str) -> bool:
+def _named(token: str, is_id: bool) -> tuple[str, bool, list[str]] | None:
+    """How a class or id speaks of boilerplate: (``exact``, ``readers``, ``ambiguous`` or ``part``,
+    whether it is an id, its words), if it does."""
+    words = [w.lower() for w in NAME_WORD.findall(token)]
+    said = [w for w in words if w in CUT_WORDS]
+    joined = "".join(words)
+    if joined in CUT_WORDS:
+        said = [joined]
+    elif not said:
+        return None
+    elif any(w not in CUT_WORDS and w not in FILLER and not w.isdigit() for w in words):
+        return "part", is_id, words
+    if any(w in READERS for w in said):
+        return "readers", is_id, words
+    return "ambiguous" if all(w in AMBIGUOUS for w in said) else "exact", is_id, words
+
+
+def _is_cut(name: str, attrs: str) -> tuple[bool, Sequence[tuple[str, bool, list[str]]]]:
+    """Whether an element is cut whatever is in it, and the names that may cut it."""
     if name in CUT:
-        return True
+        return True, ()
     if not attrs or attrs.isspace():
-        return False
+        return False, ()
     found = {(m[1] or m[5] or "").lower(): htmllib.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, ()
     if "display:none" in "".join(found.get("style", "").lower().split()):
-        return True
+        return True, ()
     if found.get("role", "").lower() in CUT_ROLES:
-        return True
+        return True, ()
     if name in ("body", "html", "article", "main"):  # these classes often speak of the whole page
-        return False
-    words = NAME_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")
-    return any(w.lower() in CUT_WORDS for w in words)
+        return False, ()
+    names = [_named(t, False) for t in found.get("class", "").split()] + [_named(t, True) for t in found.get("id", "").split()]
+    names = [x for x in names if x]
+    if name in HEADINGS:  # their ids are made from titles
+        return any(kind in ("exact", "readers") and not is_id for kind, is_id, _ in names), ()
+    if name not in BLOCK:
+        sure = ("exact", "readers", "ambiguous") if name == "a" else ("exact", "readers")
+        return any(kind in sure for kind, _, _ in names), ()
+    if any(kind == "readers" or (kind == "exact" and not is_id) for kind, is_id, _ in names):
+        return True, ()
+    return False, names
+
+
+def _goes(node: Node, title: list[str], prose: bool) -> bool:
+    """Whether one of the names of a suspected node cuts it, from what is in it."""
+    if node.linked > LINK_LIMIT * node.chars:
+        return True
+    for kind, is_id, words in node.suspect:
+        if is_id and set(words) <= set(title):
+            continue
+        if kind == "exact":
+            return True
+        if kind == "ambiguous" and node.name not in ("p", "pre", "blockquote") and node.chars < SHORT:
+            return True
+        if kind == "part" and node.chars < LABEL and not prose and node.name not in ("p", "pre", "blockquote", "li"):
+            return True
+    return False
+
+
+def _judge(root: Node) -> None:
+    """Cuts the suspected nodes that go, inner ones first."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.cut)
+    size: dict[Node, list[float]] = {}
+    titles: dict[Node, list[str]] = {}
+    prose: set[Node] = set()
+    for node in reversed(order):
+        chars, linked = size.get(node, (0.0, 0.0))
+        text = []
+        for run in _runs(node):
+            if not isinstance(run, Node):
+                chars, linked = chars + run[1], linked + run[2]
+                text.append(run[0])
+        if node.name in HEADINGS and text:
+            titles[node] = [w.lower() for w in NAME_WORD.findall(" ".join(text))]
+        if chars and (node.name in HEADINGS or node.name in ("p", "pre", "blockquote", "li", "table")):
+            prose.add(node)
+        if node.suspect:
+            node.chars, node.linked = chars, linked
+            node.cut = _goes(node, titles.get(node, []), node in prose)
+            node.chars = node.linked = 0.0
+        if node.parent is not None and not node.cut:
+            size[node.parent] = [a + b for a, b in zip(size.get(node.parent, (0.0, 0.0)), (chars, linked))]
+            if node in titles:  # an earlier one comes later here
+                titles[node.parent] = titles[node]
+            if node in prose:
+                prose.add(node.parent)
 
 
 def parse(page: str) -> Node:
     """The tree of block nodes; inline elements only add their text to it."""
     root = Node("html", None)
     open_: list[tuple[str, Node]] = [("html", root)]  # (element, the block node its text goes to)
-    links = cuts = 0
+    links = cuts = suspects = 0
 
     def text(raw: str) -> None:
         if not cuts and raw:
@@ -144,7 +239,7 @@ def parse(page: str) -> Node:
             text("\n")
             continue
         if name in ("html", "body"):
-            if _is_cut(name, m["attrs"]):
+            if _is_cut(name, m["attrs"])[0]:
                 continue
         if name in CLOSES_P:
             close_open({"p"}, BLOCK - {"p"})
@@ -156,10 +251,11 @@ def parse(page: str) -> Node:
             continue
         if name == "a":
             close_open({"a"}, BLOCK)
-        cut = name not in ("html", "body") and _is_cut(name, m["attrs"])
+        cut, suspect = (False, ()) if name in ("html", "body") else _is_cut(name, m["attrs"])
+        suspects += len(suspect)
         parent = open_[-1][1]
         if name in BLOCK or cut:
-            node = Node(name, parent, cut)
+            node = Node(name, parent, cut, suspect)
             parent.items.append(node)
             cuts += cut
             if not m["attrs"].endswith("/") or name in BLOCK:
@@ -170,6 +266,8 @@ def parse(page: str) -> Node:
             open_.append((name, parent))
         links += open_[-1][0] == "a" and open_[-1][1] is parent
     text(page[at:])
+    if suspects:
+        _judge(root)
     return root
 
 

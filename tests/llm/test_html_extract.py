@@ -75,3 +75,35 @@ def test_query_shape_nulls_repeats_and_empty_table(spark):
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(((r.page_id or 0), r.text, r.n_chars) for r in found.collect()) == [(0, "", 0), (1, "One, two", 8), (1, "One, two", 8)]
     assert html_extract.extract(pages.where(F.lit(False))).collect() == []
+
+
+@pytest.mark.parametrize(
+    "part,kept",
+    [
+        ('<h2 id="related-work">Related work</h2><p>Others wrote, too.</p>', ["Related work", "Others wrote, too."]),
+        ('<section id="header-files"><h2>Header files</h2><p>They declare.</p></section>', ["Header files", "They declare."]),
+        ('<section id="navigation"><h2>Navigation</h2><p>By the stars.</p></section>', ["Navigation", "By the stars."]),
+        ('<div id="share-prices"><p>They rose.</p></div>', ["They rose."]),
+        ('<p class="notice">Read this.</p>', ["Read this."]),
+        ('<section id="social-policy"><p>It changed.</p></section>', ["It changed."]),
+        ('<section id="footer"><h3>The footer</h3><p>Feet, mostly.</p></section>', ["The footer", "Feet, mostly."]),
+        (f'<div class="discussion"><p>{LONG}</p></div>', [LONG]),
+        ('<p>See <span class="notice">this</span> one.</p>', ["See this one."]),
+        ('<div class="related-posts"><ul><li><a href=1>One more, here</a></li></ul></div>', []),
+        ('<div class="social-share">Share this</div><div class="main-nav">Up</div><p class="ad">Buy</p>', []),
+        ('<div class="promo-code">Use ABC</div><div class="notice"><p>We use them.</p></div>', []),
+        (f'<div class="footer"><p>{LONG}</p></div><section id="comments"><h2>Comments</h2><p>{LONG}</p></section>', []),
+        ('<div class="related"><div class="notice">x</div><a href=2>A link, only</a></div>', []),
+    ],
+)
+def test_names_with_a_word_of_boilerplate(part, kept):
+    want = [LONG, *kept, LONG]
+    for body in (f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>", f"<div><p>{LONG}</p>{part}<p>{LONG}</p></div>"):
+        found = html_extract.main_text(page(MENU + body + FOOT))
+        if body.startswith("<article") or not kept:
+            assert found == "\n\n".join(" ".join(w.split()) for w in want)
+
+
+def test_deep_suspects_are_judged_in_linear_time():
+    deep = "<div class='related-x'>" * 3000 + f"<p>{LONG}" + "</div>" * 3000
+    assert html_extract.main_text(page(deep)) == " ".join(LONG.split())
