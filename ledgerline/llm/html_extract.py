@@ -10,8 +10,11 @@ longer name does (``related-work``), only if it is mostly links or a short label
 and paragraphs stay when the name has another meaning too. Each remaining block passes
 points for its length and commas to its ancestors, halved at each step up; a node's score
 is discounted by its share of link text. The best node is the main container, widened to
-the ``article`` or ``main`` around it; its siblings stay when they score well themselves
-or are paragraphs of text with few links.
+the ``article`` or ``main`` around it. Beside it, and beside each element around it up to
+``main`` or ``body``, headings, paragraphs, lists, tables, figures, sections and bare text stay
+when at most half of their text is in links, other elements (and further articles) when they
+score well themselves too. Where such another element stays, the parent (but not ``body``)
+is the container of both, and its elements with few links all stay. All in page order.
 
 Blocks are joined by two line feeds. Character references are decoded, white space inside
 a block becomes one space.
@@ -26,6 +29,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,6 +65,8 @@ FILLER = frozenset(
     " item items link links button buttons unit slot content js".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: elements of running text
+TEXT = HEADINGS | frozenset("p pre blockquote ul ol li dl dt dd table figure section hgroup".split())
 CLOSES_P = BLOCK - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 #: a start tag closes an open element of these names up to the nearest of the second ones
 IMPLIED_END = {
@@ -329,6 +335,14 @@ def _blocks(node: Node, out: list[str]) -> None:
             out.append(run[0])
 
 
+def _stays(node: Node, limit: float, shared: bool) -> bool:
+    """Whether a sibling of the main container, or of an element around it, is part of the text;
+    ``shared``: another sibling scores well, so their parent is the container."""
+    if node.cut or not node.chars or node.linked > LINK_LIMIT * node.chars:
+        return False
+    return node.name in TEXT or (shared and node.name != "article") or node.score() >= limit > 0
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     root = parse(page or "")
@@ -343,22 +357,27 @@ def main_text(page: str | None) -> str:
             break
         around = around.parent
     limit = SIBLING_SHARE * best.score()
-    kept = [best]
-    if best.parent is not None and best.name not in ("article", "main"):
-        kept = []
-        for run in best.parent.items:
-            if not isinstance(run, Node) or run.cut:
-                continue
-            dense = run.chars and run.linked / run.chars > LINK_LIMIT
-            text = run.name in ("p", "pre", "blockquote", "h1", "h2", "h3") and run.chars and not dense
-            if run is best or text or (run.score() >= limit and run.score() > 0 and not dense):
-                kept.append(run)
-    elif best.name == "article" and best.parent is not None:
-        kept = [n for n in best.parent.items if n is best or (isinstance(n, Node) and not n.cut and n.name == "article" and n.score() >= limit > 0)]
-    out: list[str] = []
-    for node in kept:
-        _blocks(node, out)
-    return "\n\n".join(out)
+    middle: list[str] = []
+    _blocks(best, middle)
+    before: list[list[str]] = []  # of each element around, the innermost first
+    after: list[list[str]] = []
+    while best.parent is not None and best.name not in ("main", "body"):
+        sides: tuple[list[str], list[str]] = ([], [])
+        passed = False
+        others = [x for x in best.parent.items if isinstance(x, Node) and x is not best and x.name not in TEXT and x.name != "article"]
+        shared = best.parent.name not in ("body", "html") and any(_stays(x, limit, False) for x in others)
+        for run in _runs(best.parent):
+            if run is best:
+                passed = True
+            elif isinstance(run, Node):
+                if _stays(run, limit, shared):
+                    _blocks(run, sides[passed])
+            elif run[2] <= LINK_LIMIT * run[1]:
+                sides[passed].append(run[0])
+        before.append(sides[0])
+        after.append(sides[1])
+        best = best.parent
+    return "\n\n".join([*chain.from_iterable(reversed(before)), *middle, *chain.from_iterable(after)])
 
 
 def extract(pages: DataFrame, html_col: str = "html", carry: Sequence[str] = ("page_id", "url")) -> DataFrame:

@@ -100,10 +100,32 @@ def test_names_with_a_word_of_boilerplate(part, kept):
     want = [LONG, *kept, LONG]
     for body in (f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>", f"<div><p>{LONG}</p>{part}<p>{LONG}</p></div>"):
         found = html_extract.main_text(page(MENU + body + FOOT))
-        if body.startswith("<article") or not kept:
-            assert found == "\n\n".join(" ".join(w.split()) for w in want)
+        assert found == "\n\n".join(" ".join(w.split()) for w in want)
 
 
 def test_deep_suspects_are_judged_in_linear_time():
     deep = "<div class='related-x'>" * 3000 + f"<p>{LONG}" + "</div>" * 3000
     assert html_extract.main_text(page(deep)) == " ".join(LONG.split())
+
+
+LINKS = "<ul><li><a href=1>One, of many</a><li><a href=2>Two, of many</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<main><h1>Title</h1><p>Lead.</p><article><p>{LONG}</p><p>{LONG}</p></article>{LINKS}<p>After.</p></main>", ["Title", "Lead.", LONG, LONG, "After."]),
+        (f"<main><h1>Title</h1><div><article><p>{LONG}</p><p>{LONG}</p></article>{LINKS}</div></main><p>Out, side</p>", ["Title", LONG, LONG]),
+        (f"<div><section><p>{LONG}</p><p>{LONG}</p></section><section><h2>B</h2><p>Short.</p></section></div>", [LONG, LONG, "B", "Short."]),
+        (f"<div>Bare text before.<div><p>{LONG}</p><p>{LONG}</p></div>Bare <a href=1>x</a> after.<a href=2>Only a link</a><hr><a href=3>Link</a></div>",
+         ["Bare text before.", LONG, LONG, "Bare x after.Only a link"]),
+        (f"<div><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>a<li>b</ul>{LINKS}<table><tr><td>c</table><figure>d</figure><h4>e</h4><ol><li>f</ol></div>",
+         [LONG, LONG, "a", "b", "c", "d", "e", "f"]),
+        # parts of one text in several children of the common parent
+        (f"<div><h1>Title</h1><div><div><p>{LONG}</p><p>{LONG}</p></div></div><div><div><p>{LONG}</p></div></div><div><section><p>Small.</p></section></div>{LINKS}</div>",
+         ["Title", LONG, LONG, LONG, "Small."]),
+        (f"<div><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article><article><p>Teaser.</p></article></div>", [LONG, LONG, LONG]),
+    ],
+)
+def test_siblings_of_the_best_container(body, want):
+    assert html_extract.main_text(page(MENU + body + FOOT)) == "\n\n".join(" ".join(w.split()) for w in want)
