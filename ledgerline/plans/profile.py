@@ -42,19 +42,21 @@ def bridge_profile(src: Sources) -> DataFrame:
         F.lit("-"),
         F.coalesce(F.col("app_account_id").cast("string"), F.lit("none")),
     )
-    # distinct combinations first, then plain counts of them: no row-multiplying Expand
-    links = (
-        _raw_bridge(src)
-        .groupBy(combo.alias("combination"))
-        .agg(F.count(F.lit(1)).alias("n"), F.first("billing_account_id").alias("b"), F.first("app_account_id").alias("a"))
-    )
-    per_billing = links.groupBy("b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("links"))
-    apps = links.where(F.col("a").isNotNull()).groupBy("a").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)))
+    # distinct links first, then plain counts of them: no row-multiplying Expand. Two links may
+    # read alike as text, so only the combinations are told apart by it
+    links = _raw_bridge(src).groupBy("billing_account_id", "app_account_id").agg(F.count(F.lit(1)).alias("n"))
+    per_billing = links.groupBy("billing_account_id").agg(F.sum("n").alias("n"))
+    apps = links.where(F.col("app_account_id").isNotNull()).groupBy("app_account_id").agg(F.lit(1).alias("one"))
+    combinations = links.groupBy(combo.alias("combination")).agg(F.lit(1).alias("one"))
     return per_billing.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.count("b").alias("unique_billing_accounts"),
-        F.coalesce(F.sum("links"), F.lit(0)).alias("unique_combinations"),
-    ).withColumn("unique_app_accounts", apps.scalar())
+        F.count("billing_account_id").alias("unique_billing_accounts"),
+    ).select(
+        "total_rows",
+        "unique_billing_accounts",
+        combinations.agg(F.count(F.lit(1))).scalar().alias("unique_combinations"),
+        apps.agg(F.count(F.lit(1))).scalar().alias("unique_app_accounts"),
+    )
 
 
 def arr_movement_by_month(arr_monthly: DataFrame) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import round_half_away
 from ledgerline.operators.staging import stage
-from ledgerline.plans import quality, reports
+from ledgerline.plans import profile, quality, reports
 from ledgerline.plans.mart import build_models, lifecycle_mart
 from ledgerline.sources.files import read_csv_sources
 from tests.conftest import D, app, arr_row, billing, make_sources, usage_row, user
@@ -376,3 +377,18 @@ def test_new_account_window_crosses_the_year(spark):
     )
     got = {r["snapshot_month"]: r["is_new_account"] for r in mart.collect()}
     assert got == {D(2023, 11, 1): 1, D(2023, 12, 1): 1, D(2024, 1, 1): 1, D(2024, 2, 1): 0}
+
+
+def test_links_that_read_alike_are_counted_apart(spark):
+    """Text ids: 'a' + 'b-c' and 'a-b' + 'c' are one combination as text, but two billing and
+    two app accounts; so are an app account 'none' and no app account."""
+    bills = spark.createDataFrame([("a", 1), ("a-b", 2), ("d", 3), ("d", 4)], "billing_account_id string, billing_account_bridge_id long")
+    apps = [("b-c", 1, False), ("c", 2, False), ("none", 3, False)]
+    apps = spark.createDataFrame(apps, "app_account_id string, billing_account_bridge_id long, is_internal_account boolean")
+    src = SimpleNamespace(billing_accounts=bills, app_accounts=apps)
+    assert profile.bridge_profile(src).first().asDict() == {
+        "total_rows": 4,
+        "unique_billing_accounts": 3,
+        "unique_app_accounts": 3,
+        "unique_combinations": 2,
+    }
