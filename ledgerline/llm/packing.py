@@ -2,7 +2,9 @@
 
 * A document's ids are cut into pieces of the full length and a rest; pieces are written
   with their ids, their length class (length over ``unit``, rounded up) and their number
-  within task and class.
+  within task and class. Short pieces (under ``SHORT`` units) that stand in one of the slices
+  in which a task reads its rows are laid end to end into bundles of up to twice that, which
+  share a class, a number and so a place, as one piece would.
 * The histogram of classes (at most ``length / unit`` rows) is the cutting-stock problem:
   its linear program over patterns is solved by column generation, in which a knapsack
   dynamic program prices the columns. Each pattern is used a rounded-down number of times.
@@ -12,8 +14,9 @@
   the pieces left over are bounded whatever the input. They are laid end to end and cut
   into full sequences, and the end into powers of two, so they need no padding.
 
-A piece takes at most ``unit - 1`` ids more than its length in the patterns, which is
-nearly all of the padding.
+A piece of ``SHORT`` units or more, or a bundle, takes at most ``unit - 1`` ids more than its
+length in the patterns, which is nearly all of the padding. Bundles are longer than ``SHORT``
+units but for the last of a slice.
 
 Defined results: a null text is empty (its only id is the end id). Rows that repeat an id
 are packed like any others. An empty table gives an empty result. Further columns are
@@ -39,6 +42,10 @@ from ledgerline.llm.tokens import encoder
 # Ids in a sequence; ids in a unit of the patterns.
 LENGTH = 4096
 UNIT = 16
+#: Units below which a piece is bundled with others.
+SHORT = 16
+#: Rows that a task encodes at once.
+SLICE = 512
 #: The program stops here at the latest; every basis on the way is a valid packing.
 MAX_PIVOTS = 4000
 
@@ -150,24 +157,39 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     """Written table of the documents' pieces, with their ids and their number within task and class."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = rows.schema[:1]
-    for name, kind in (("start", "long"), ("length", "long"), ("crc", "long"), ("doc_tokens", "long"), ("size", "integer"), ("task", "integer"), ("nth", "long"), ("ids", "binary")):
+    for name, kind in (("start", "long"), ("length", "long"), ("crc", "long"), ("doc_tokens", "long"), ("size", "integer"), ("task", "integer"), ("nth", "long"), ("within", "long"), ("ids", "binary")):
         schema = schema.add(name, kind)
 
     def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(tokenizer, word_level), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part, out, at = batch.slice(i, 512), [], []
+            for i in range(0, batch.num_rows, SLICE):
+                part, out, at, bundle, bundled = batch.slice(i, SLICE), [], [], [], 0
+
+                def place(group: list, ids: int) -> None:
+                    size, within = -(-ids // unit), 0
+                    for row, start, piece, tokens in group:
+                        out.append((start, len(piece), _crc(piece), tokens, size, task, seen[size], within, piece.tobytes()))
+                        at.append(row)
+                        within += len(piece)
+                    seen[size] += 1
+
                 for row, text in enumerate(part.column(1).to_pylist()):
                     ids = enc.encode(text, end_id)
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length]
-                        size = -(-len(piece) // unit)
-                        out.append((start, len(piece), _crc(piece), len(ids), size, task, seen[size], piece.tobytes()))
-                        at.append(row)
-                        seen[size] += 1
+                        if len(piece) >= SHORT * unit:
+                            place([(row, start, piece, len(ids))], len(piece))
+                            continue
+                        if bundle and bundled + len(piece) > min(2 * SHORT * unit, length):
+                            place(bundle, bundled)
+                            bundle, bundled = [], 0
+                        bundle.append((row, start, piece, len(ids)))
+                        bundled += len(piece)
+                if bundle:
+                    place(bundle, bundled)
                 first = part.column(0).take(pa.array(at, pa.int64()))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([first, *(pa.array(v, k) for v, k in zip(zip(*out), kinds))], names=schema.names)
 
     return written(map_arrow(rows, to_pieces, schema), "pack-pieces")
@@ -188,7 +210,7 @@ def pack(
     spark = docs.sparkSession
     table = pieces(docs, tokenizer, end_id, id_col, text_col, word_level, length, unit)
     width = encoder(tokenizer, word_level).dtype.itemsize
-    counts = written(table.groupBy("size", "task").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
+    counts = written(table.groupBy("size", "task").agg(F.count_if(F.col("within") == 0).alias("n")), "pack-counts")
     demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     slots, sequences = _slots(cutting_stock(demand, length // unit))
 
@@ -200,12 +222,12 @@ def pack(
     slot = spark.createDataFrame(slots, "s int, lo long, hi long, n long, first long")
     placed = ranked.join(F.broadcast(slot), (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     at = F.col("rank") - F.col("lo")
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "place").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "place", "within").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         placed.withColumns({"sequence_id": F.col("first") + F.expr("(rank - lo) div n"), "place": at % F.col("n")})
-        .select("id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "size", "place")
+        .select("id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "size", "place", "within")
         .withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-        .drop("size", "place")
+        .drop("size", "place", "within")
     )
 
     # the bounded rest of the pieces, end to end
@@ -214,8 +236,8 @@ def pack(
         taken[size] = max(taken[size], hi)
     full = spark.createDataFrame([(s, taken[s]) for s in demand], "s int, taken long")
     rest = ranked.join(F.broadcast(full), F.col("size") == F.col("s")).where("rank >= taken")
-    rest = written(rest.select("id", "start", "length", "doc_tokens", "size", "rank", "ids"), "pack-rest")
-    line = Window.orderBy("size", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    rest = written(rest.select("id", "start", "length", "doc_tokens", "size", "rank", "within", "ids"), "pack-rest")
+    line = Window.orderBy("size", "rank", "within").rowsBetween(Window.unboundedPreceding, -1)
     laid = rest.withColumn("at", F.coalesce(F.sum("length").over(line), F.lit(0)))
     total = rest.agg(F.sum("length").alias("n")).first()["n"] or 0
 

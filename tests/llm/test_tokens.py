@@ -185,3 +185,13 @@ def test_packing_of_null_ids_one_hot_length_and_empty_table(spark, empty, tokeni
     assert sum(r.length for r in found) == 50 + 150
     assert len({(r.sequence_id, r.offset) for r in found}) == len(found)
     assert packing.pack(empty, tokenizer, 2).collect() == []
+
+
+@pytest.mark.parametrize("words", [0, 10, 40])
+def test_packing_of_short_rows_has_little_padding(spark, tokenizer, words):
+    rows = [(i, "stone " * words, None, None, None) for i in range(20000)]
+    found = packing.pack(spark.createDataFrame(rows, DOCS).repartition(2), tokenizer, 2, word_level=True).collect()
+    share = check_packing(found, plain(tokenizer, rows, 2), 4096)
+    assert share < 0.06, share
+    ids = sum(r.length for r in found)
+    assert len({r.sequence_id for r in found}) <= ids / 4096 * 1.06 + 12  # the rest's powers of two
