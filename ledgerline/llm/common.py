@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -53,6 +53,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def carried(docs: DataFrame, carry: Sequence[str], text_col: str, result: str) -> tuple[DataFrame, T.StructType]:
+    """The ``carry`` columns and then the text, under names of their own, and the schema of the
+    carried and the ``result`` columns. A result column wins over a carried one of its name."""
+    made = T.StructType.fromDDL(result)
+    kept = [c for c in dict.fromkeys(carry) if c not in made.names]
+    rows = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("__t"))
+    fields = [T.StructField(c, f.dataType) for c, f in zip(kept, rows.schema)]
+    return rows, T.StructType([*fields, *made])
+
+
 @lru_cache(maxsize=None)
 def _shipped(application: str, spark: SparkSession) -> None:
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

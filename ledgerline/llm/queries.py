@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
+    chat_format,
     exact_dedup,
     html_extract,
     language_id,
     mixing,
     packing,
+    phrases,
     quality_model,
     quality_rules,
+    runs,
     secret_scan,
     simhash,
     token_files,
@@ -26,6 +29,8 @@ from ledgerline.llm.common import held_out, new_path, table, written
 TOKENIZER = "word_bpe_49k.json"
 FILE_END_ID = 1
 PACK_END_ID = 2
+# what separates words
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +87,58 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), carry=("doc_id",))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, which where crc32 of the id's decimal digits is a multiple of 10
+    repeats a part of its words up to the end (a null id's text stays as it is)."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACES), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    chosen = chosen.withColumns({"n": F.size("w"), "g": F.floor(F.col("h") / 10)}).withColumn("a", F.expr("cast(g % nullif(n, 0) as int)"))
+    chosen = chosen.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("transform(sequence(a, n - 1), i -> w[a + (i - a) % p])")
+    changed = F.array_join(F.concat(F.slice("w", 1, F.col("a")), tail), " ")
+    return chosen.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = found.withColumn("best", longest)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        (-F.col("best.less")).alias("length"),
+        "best.period",
+        F.expr("(1000 * -best.less) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    added = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    out = written(chat_format.format_chat(rows.unionByName(added)), "chat")
+    turns = F.transform(chat_format.parse_turns("formatted"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    back = out.withColumns({"turns": turns, "loss": F.array_join(chat_format.loss_texts("formatted", "loss_spans"), "")})
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "n_blocks",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sequence_packing,
         op9_secret_scan,
         op10_quality_rules,
+        op11_phrase_mining,
+        op12_periodic_runs,
+        op13_chat_format,
         pipeline,
     )
 }
@@ -203,4 +263,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op5_source_mix": OP5_SQL, "op10_quality_rules": OP10_SQL}
+# scores by trying every cut; phrases inside longer ones by comparing at each offset
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)
+), g AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS ws
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k))
+), f AS MATERIALIZED (
+  SELECT lang, k, ws, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT * FROM f WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.k, c.ws, c.f, j, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.ws = list_slice(c.ws, 1, j)
+  JOIN f y ON y.lang = c.lang AND y.ws = list_slice(c.ws, j + 1, c.k)
+), low AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, j) = 1
+), inside AS (
+  SELECT DISTINCT s.lang, s.ws
+  FROM (SELECT lang, f, part, list_slice(ws, i, i + part - 1) AS ws
+        FROM (SELECT *, unnest(range(1, k - part + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS part FROM c))) s
+  JOIN c ON c.lang = s.lang AND c.ws = s.ws
+  WHERE 100 * s.f >= 80 * c.f
+)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, f DESC, array_to_string(low.ws, ' ')) AS rank,
+       array_to_string(low.ws, ' ') AS phrase, f AS a, l, r, n, score::BIGINT AS score
+FROM low JOIN n USING (lang) LEFT JOIN inside ON inside.lang = low.lang AND inside.ws = low.ws
+WHERE inside.ws IS NULL
+QUALIFY row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, f DESC, array_to_string(low.ws, ' ')) <= 2000
+"""
+
+# marks: <s> role [INST] text for a block's first turn, [/INST] text for the others, </s> after the last
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o AS (
+  SELECT *, row_number() OVER w AS i, coalesce(lag(role) OVER w <> role, true) AS first
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), e AS (
+  SELECT *, length(regexp_replace(text, '(<|\[)(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) AS text_chars,
+         length(regexp_replace(role, '(<|\[)(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) AS role_chars
+  FROM o
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(text_chars + CASE WHEN first THEN 3 + role_chars + 6 + 4 ELSE 7 END)::BIGINT AS formatted_chars,
+       count(*) FILTER (first) AS n_blocks
+FROM e GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op5_source_mix": OP5_SQL, "op10_quality_rules": OP10_SQL, "op11_phrase_mining": OP11_SQL, "op13_chat_format": OP13_SQL}
