@@ -9,7 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +83,23 @@ def _shipped(application: str, spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
+#: Rows of an Arrow batch, unless the session sets another number than Spark's default: a batch of
+#: 10,000 long texts is copied several times on its way to Python and back.
+BATCH_ROWS = 1024
+#: Bytes of texts that a task works on at a time (one text at least).
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices with about ``SLICE_BYTES`` of text in ``column``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow``, with this package's code sent to the executors once per application.
 
@@ -88,6 +107,9 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     the batches back to the system."""
     spark = df.sparkSession
     _shipped(spark.sparkContext.applicationId, spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)

@@ -21,7 +21,8 @@ a block becomes one space.
 
 Defined results: null, empty or text-free html gives an empty text; broken markup is read as far
 as it goes (unclosed and stray tags, a missing body). An empty table gives an empty
-result. Further columns are carried, whatever their names.
+result. The columns named in ``carry`` come along; a result column wins over a carried one
+of its name.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import map_arrow
+from ledgerline.llm.common import carried, map_arrow
 
 # Element names of HTML by their part here.
 BLOCK = frozenset(
@@ -382,12 +383,11 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", carry: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """One row per row of ``pages``: the columns named in ``carry``, ``text`` and ``n_chars`` (its code points)."""
-    rows = pages.select(*carry, F.col(html_col).alias("__html"))
-    schema = rows.schema[:-1].add("text", "string").add("n_chars", "long")
+    rows, schema = carried(pages, carry, html_col, "text string, n_chars long")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(x) for x in batch.column(len(carry)).to_pylist()]
+            found = [main_text(x) for x in batch.columns[-1].to_pylist()]
             columns = [pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
 

@@ -10,7 +10,8 @@ a language that it lacks is a family of its own.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; null labels
 are not learned from; without any labelled row every text is ``und``. Texts are read
-whole. An empty table gives an empty result. Further columns are carried, whatever their names.
+whole. An empty table gives an empty result. The columns named in ``carry`` come along;
+a result column wins over a carried one of its name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ASCII_LOWER, held_out, map_arrow
+from ledgerline.llm.common import ASCII_LOWER, carried, held_out, map_arrow
 
 SAMPLE_ROWS = 3000
 BUCKETS = 4096
@@ -166,13 +167,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the columns named in ``carry``, ``lang_pred`` and ``score`` (0 to 1)."""
-    rows = docs.select(*carry, F.col(text_col).alias("__text"))
-    schema = rows.schema[:-1].add("lang_pred", "string").add("score", "double")
+    rows, schema = carried(docs, carry, text_col, "lang_pred string, score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the languages
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(len(carry)).to_pylist()]
+            found = [shared.value.predict(t) for t in batch.columns[-1].to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.llm.common import map_arrow, narrow_side, written
+from ledgerline.llm.common import map_arrow, narrow_side, slices, written
 from ledgerline.llm.tokens import encoder
 
 # Ids in a sequence; ids in a unit of the patterns.
@@ -44,8 +44,6 @@ LENGTH = 4096
 UNIT = 16
 #: Units below which a piece is bundled with others.
 SHORT = 16
-#: Rows that a task encodes at once.
-SLICE = 512
 #: The program stops here at the latest; every basis on the way is a valid packing.
 MAX_PIVOTS = 4000
 
@@ -163,8 +161,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(tokenizer, word_level), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part, out, at, bundle, bundled = batch.slice(i, SLICE), [], [], [], 0
+            for part in slices(batch, 1):
+                out, at, bundle, bundled = [], [], [], 0
 
                 def place(group: list, ids: int) -> None:
                     size, within = -(-ids // unit), 0
@@ -174,8 +172,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
                         within += len(piece)
                     seen[size] += 1
 
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    ids = enc.encode(text, end_id)
+                found, ends = enc.encode(part.column(1), end_id)
+                for row in range(part.num_rows):
+                    ids = found[ends[row] : ends[row + 1]]
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length]
                         if len(piece) >= SHORT * unit:

@@ -8,12 +8,13 @@ encoder, attention and score are learned together from them.
 
 Training takes at most ``SAMPLE_ROWS`` labelled documents, as many of each label as there
 are, chosen by a hash of the id; held-out rows are never among them. The features come to the
-driver in pieces of ``BUCKETS + 16`` half-precision numbers a passage.
+driver in pieces of ``BUCKETS + 16`` half-precision numbers a passage: at most ``FIT_PASSAGES``
+evenly spaced ones of a text, and at most twice as many texts as the sample has when ids repeat.
 
 Defined results: a null or empty text is one empty passage and is scored like any other;
 with labels of only one kind, or none, every score is the share of label 1 (0.5 without
-labels). Texts are read whole. An empty table gives an empty result. Further columns are
-carried, whatever their names.
+labels). Texts are scored whole. An empty table gives an empty result. The columns named in
+``carry`` come along; a result column wins over a carried one of its name.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import held_out, map_arrow
+from ledgerline.llm.common import carried, held_out, map_arrow
 
 SAMPLE_ROWS = 2400
+#: passages of one text that take part in the fit (scoring uses all)
+FIT_PASSAGES = 512
 PASSAGE_WORDS = 64
 BUCKETS = 128
 HIDDEN = 24
@@ -160,6 +163,11 @@ def fit(bags: Sequence[np.ndarray], labels: Sequence[int], steps: int = STEPS) -
     return model
 
 
+def spaced(passages: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
+    """At most ``most`` of the passages, evenly spaced."""
+    return passages if len(passages) <= most else passages[np.linspace(0, len(passages) - 1, most).astype(int)]
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS
 ) -> Model:
@@ -177,10 +185,10 @@ def train(
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
+            found = [spaced(features(t)).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2).cast(pa.int32())], names=["id", "x", "y"])
 
-    found = map_arrow(rows.select(F.col(id_col).cast("string"), "__text", "__y"), to_features, "id string, x binary, y int").toArrow()
+    found = map_arrow(rows.select(F.col(id_col).cast("string"), "__text", "__y"), to_features, "id string, x binary, y int").limit(2 * sample_rows).toArrow()
     found = found.sort_by([("id", "ascending"), ("x", "ascending")])  # the same sums in every run
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in found["x"].to_pylist()]
     model = fit(bags, found["y"].to_pylist())
@@ -194,13 +202,12 @@ def train(
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: Sequence[str] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: the columns named in ``carry``, ``score`` and ``predicted``."""
-    rows = docs.select(*carry, F.col(text_col).alias("__text"))
-    schema = rows.schema[:-1].add("score", "double").add("predicted", "integer")
+    rows, schema = carried(docs, carry, text_col, "score double, predicted int")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([shared.value.score(t) for t in batch.column(len(carry)).to_pylist()])
+            found = np.array([shared.value.score(t) for t in batch.columns[-1].to_pylist()])
             columns = [pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
 

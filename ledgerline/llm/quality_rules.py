@@ -8,8 +8,9 @@ measure is computed when first asked for and kept for the next rule. The order c
 the time, never the verdict.
 
 Defined results: a null or empty text has no words, so the base rule rejects it. Texts are
-measured whole. An empty table gives an empty result. Further columns are carried,
-whatever their names.
+measured whole. An empty table gives an empty result. ``filter_quality``
+carries all columns, whatever their names; ``judge`` those named in ``carry``, and a result
+column wins over a carried one of its name.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACES, map_arrow
+from ledgerline.llm.common import SPACES, carried, map_arrow
 
 #: rows on which cost and selectivity are estimated
 SAMPLE_ROWS = 2000
@@ -107,9 +107,9 @@ REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def rule_order(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of RULES by rejections per second on a sample, best first.
 
-    The sample is the first rows of evenly spaced partitions, so nothing is shuffled and
-    the rest is not read. A rule's time includes the measures it asks for. A few sums per
-    rule come back."""
+    The sample is the first rows of evenly spaced partitions, so nothing is shuffled; the rows
+    of the others are dropped right after the scan and don't reach Python. A rule's time includes
+    the measures it asks for. A few sums per rule come back."""
     parts = max(1, docs.rdd.getNumPartitions())
     used = min(parts, SAMPLE_PARTS)
     each, step = -(-sample_rows // used), parts / used
@@ -117,8 +117,8 @@ def rule_order(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPL
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, rejected = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
-        left = each if TaskContext.get().partitionId() in chosen else 0
-        for batch in batches if left else ():
+        left = each
+        for batch in batches:
             texts = batch.column(0).slice(0, left).to_pylist()
             left -= len(texts)
             for text in texts:
@@ -127,12 +127,13 @@ def rule_order(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPL
                     rejected[name] += rejects(Measures(text))
                     spent[name] += time.perf_counter() - began
             if not left:
-                break
+                break  # the rest of the partition is not asked for
         yield pa.RecordBatch.from_pydict(
             {"rule": list(RULES), "seconds": list(spent.values()), "rejected": list(rejected.values())}
         )
 
-    sums = map_arrow(docs.select(text_col), trial, "rule string, seconds double, rejected long").groupBy("rule")
+    rows = docs.select(F.col(text_col).alias("__t")).where(F.spark_partition_id().isin(*chosen))
+    sums = map_arrow(rows, trial, "rule string, seconds double, rejected long").groupBy("rule")
     found = {r.rule: (r.s, r.n) for r in sums.agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("n")).collect()}
     rate = {name: n / max(s, 1e-9) for name, (s, n) in found.items()}
     return sorted(RULES, key=lambda name: (-rate.get(name, 0.0), list(RULES).index(name)))
@@ -148,7 +149,8 @@ def judge(docs: DataFrame, text_col: str = "text", order: Sequence[str] | None =
     ``base_failed`` and ``kept``. The cascade decides first; measures it did not need are
     computed for the report only."""
     order = list(order or rule_order(docs, text_col))
-    rows = docs.select(*carry, F.col(text_col).alias("__text"))
+    made = "".join(f"{n} long, " for n in REPORTED) + "base_failed boolean, kept boolean"
+    rows, schema = carried(docs, carry, text_col, made)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,12 +162,9 @@ def judge(docs: DataFrame, text_col: str = "text", order: Sequence[str] | None =
                 for n in REPORTED:
                     out[n].append(getattr(m, n))
             kept = {n: pa.array(v, pa.bool_() if n in ("base_failed", "kept") else pa.int64()) for n, v in out.items()}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *kept.values()], names=[*carry, *kept])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *kept.values()], names=schema.names)
 
-    schema = rows.schema[:-1]
-    for n in REPORTED:
-        schema = schema.add(n, "long")
-    return map_arrow(rows, measured, schema.add("base_failed", "boolean").add("kept", "boolean"))
+    return map_arrow(rows, measured, schema)
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", order: Sequence[str] | None = None) -> DataFrame:

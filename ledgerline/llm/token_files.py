@@ -17,7 +17,9 @@ memory (other file systems than local ones: reads them) and returns the document
 
 Defined results: a null text is empty (its only id is the end id); null ids come first;
 rows that repeat an id are ordered by a hash of their text. An empty table gives an empty
-manifest and an empty result. Further columns are ignored.
+manifest and an empty result. Further columns are ignored. Ids are whole numbers (text ids
+that are none are an error in ANSI mode). A path without a scheme lies in Spark's default file
+system, as anywhere in Spark.
 """
 
 from __future__ import annotations
@@ -34,17 +36,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.llm.common import map_arrow, narrow_side
+from ledgerline.llm.common import map_arrow, narrow_side, slices
 from ledgerline.llm.tokens import encoder
 
 #: documents that the reader returns at a time
 READ_DOCS = 256
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark's configuration gives it, as an address Arrow knows."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    for scheme in ("s3a://", "s3n://"):
+        if found.startswith(scheme):
+            return "s3://" + found[len(scheme) :]
+    return found
+
+
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path)
 
 
 def write_token_files(
@@ -61,21 +74,24 @@ def write_token_files(
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
 
+    files = _qualified(docs.sparkSession, path)
+    _file_system(files)  # an address that Arrow can't open fails here, not in the tasks
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         enc = encoder(tokenizer, word_level)
-        store, folder = _file_system(path)
+        store, folder = _file_system(files)
         store.create_dir(folder, recursive=True)
         offsets, ids, present = array("q", [0]), array("q"), bytearray()
         with store.open_output_stream(f"{folder}/{name}.bin") as out:
             for batch in batches:
-                for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = enc.encode(text, end_id)
+                for docs_ in slices(batch, 1):
+                    found, ends = enc.encode(docs_.column(1), end_id)
                     out.write(found.tobytes())
-                    offsets.append(offsets[-1] + len(found))
-                    ids.append(id_ or 0)
-                    present.append(id_ is not None)
+                    offsets.frombytes((ends[1:] + offsets[-1]).tobytes())
+                    ids.frombytes(docs_.column(0).fill_null(0).to_numpy().tobytes())
+                    present += docs_.column(0).is_valid().to_numpy(zero_copy_only=False).tobytes()
         with store.open_output_stream(f"{folder}/{name}.idx") as out:
             out.write(np.array([len(ids), *offsets, *ids], "<i8").tobytes() + bytes(present))
         yield pa.RecordBatch.from_pydict(
@@ -97,13 +113,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The documents under ``path``: doc_id, ``start`` (ids of all documents before it),
     ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit, as binary)."""
     manifest = spark.read.parquet(f"{path}/manifest")
-    files = manifest.count()
+    count = manifest.count()
     # one task per file
-    dealt = spark.range(0, files, 1, max(1, files)).join(narrow_side(manifest, files), F.col("id") == F.col("file"))
+    dealt = spark.range(0, count, 1, max(1, count)).join(narrow_side(manifest, count), F.col("id") == F.col("file"))
     schema = "doc_id long, start long, n_tokens long, ids binary"
+    where = _qualified(spark, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _file_system(path)
+        store, folder = _file_system(where)
 
         def opened(name: str) -> pa.NativeFile:
             local = isinstance(store, pafs.LocalFileSystem)
