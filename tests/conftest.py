@@ -4,7 +4,10 @@ import datetime as dt
 import os
 import sys
 
-import pytest
+# numpy's threads can come to a standstill in a process that also holds Spark's driver
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
