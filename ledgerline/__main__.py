@@ -3,21 +3,26 @@
     python -m ledgerline --csv DIR --as-of 2026-05-01 --out DIR
     spark-submit ... -m ledgerline --parquet DIR --as-of 2026-05-01 --out DIR
 
-Writes ``OUT/mart`` (parquet by month), ``OUT/reports/<name>`` (sorted CSV with a
-header) and ``OUT/checks/<name>`` (sorted CSV; empty means the check passed). Every run
-builds the mart from the inputs as they are now, writes it once, and reads the reports
-from that table. Uses the session of the submitter, with this package's SQL settings.
+Writes ``mart`` (parquet by month), ``reports/<name>`` (sorted CSV with a header) and
+``checks/<name>`` (sorted CSV; empty means the check passed) to ``OUT/runs/<id>``, and names
+that run in ``OUT/published`` when all of it is there, so a run that fails leaves the former
+one published (``ledgerline.publish.published_run``). Every run builds the mart from the inputs
+as they are now, writes it once, and reads the reports from that table. With ``--state DIR``
+(parquet inputs) only the months whose input files changed are aggregated anew. Uses the
+session of the submitter, with this package's SQL settings.
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from ledgerline.plans import quality, sinks
+from ledgerline import publish
+from ledgerline.plans import quality, sinks, state
 from ledgerline.plans.mart import build_models, lifecycle_mart
 from ledgerline.rules import Rules, as_date
 from ledgerline.session import apply_sql_conf, read_back
@@ -35,9 +40,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
         src = testdata_sources(spark, args.testdata)
     as_of = as_date(args.as_of)
     rules = Rules(trailing_expansion=args.trailing_expansion)
-    out = args.out.rstrip("/")
+    run_id = uuid.uuid4().hex
+    out = f"{args.out.rstrip('/')}/{publish.RUNS}/{run_id}"
     written = {"mart": f"{out}/mart"}
-    m = build_models(src)
+    if args.state:
+        kept = state.refresh(spark, args.parquet, args.state, id_type)
+        m = build_models(src, kept.user_month, kept.arr_monthly)
+    else:
+        m = build_models(src)
     plan = lifecycle_mart(m, as_of, rules)
     sinks.write_mart(plan, written["mart"])
     mart = read_back(spark, written["mart"], plan.schema, "snapshot_month")
@@ -58,6 +68,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
         path = f"{out}/checks/{name}"
         sinks.write_csv_report(df, path, sinks.CHECK_ORDER[name])
         written[f"checks/{name}"] = path
+    publish.publish_run(spark, args.out.rstrip("/"), run_id)
     return written
 
 
@@ -71,7 +82,10 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out", required=True, help="output folder")
     ap.add_argument("--id-type", choices=["string", "bigint"], default="string", help="type of the id columns")
     ap.add_argument("--trailing-expansion", action="store_true", help="trailing 3-month expansion window")
+    ap.add_argument("--state", help="folder of the monthly aggregates kept between runs (with --parquet)")
     args = ap.parse_args(argv)
+    if args.state and not args.parquet:
+        ap.error("--state needs --parquet")
     spark = SparkSession.builder.appName("ledgerline").getOrCreate()
     for name, path in run(spark, args).items():
         print(f"{name}\t{path}")

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import csv
 import glob
+from pathlib import Path
 
 from pyspark.sql import types as T
 
 from ledgerline import catalog
 from ledgerline.plans import sinks
 from ledgerline.plans.views import register_views
+from ledgerline.publish import published_run
 from ledgerline.streaming import ingest_daily
 
 SF = "/root/testdata/sf0.001"
 
 
+def published(spark, out) -> Path:
+    return Path(published_run(spark, str(out)))
+
+
 def test_export_reports_are_sorted_csv(spark, tmp_path):
     ctx = catalog.Context(spark, SF)
     paths = sinks.export_reports(ctx.mart, ctx.as_of, str(tmp_path))
@@ -63,6 +69,7 @@ def test_command_line_export(spark, tmp_path):
 
     out = tmp_path / "out"
     assert main(["--testdata", SF, "--as-of", "2001-08-01", "--out", str(out)]) == 0
+    out = published(spark, out)
     mart = spark.read.parquet(str(out / "mart"))
     assert mart.count() == 1553
     assert sorted(p.name for p in (out / "reports").iterdir()) == [
@@ -127,10 +134,10 @@ def test_command_line_sees_new_inputs(spark, tmp_path):
         getattr(ctx.src, name).write.parquet(str(tables / name))
     ctx.src.arr_daily.where("date < DATE '2001-01-01'").write.parquet(str(tables / "arr_daily"))
     assert main(args) == 0
-    first = spark.read.parquet(str(out / "mart")).count()
+    first = spark.read.parquet(str(published(spark, out) / "mart")).count()
     ctx.src.arr_daily.where("date >= DATE '2001-01-01'").write.mode("append").parquet(str(tables / "arr_daily"))
     assert main(args) == 0
-    assert spark.read.parquet(str(out / "mart")).count() == 1553 > first
+    assert spark.read.parquet(str(published(spark, out) / "mart")).count() == 1553 > first
 
 
 def test_parquet_sources_have_fixed_types(spark, tmp_path):
