@@ -142,32 +142,48 @@ def retention_cohorts(
 ) -> DataFrame:
     """The cohort rows: established mart rows in the months before an account's first
     churn (or first contraction), or inside the look-back window for retained accounts.
-    A mart row belongs to at most one cohort, so one join replaces the UNION ALL."""
-    as_of = as_date(as_of)
-    outcomes = account_outcomes(mart, as_of, rules).select(
-        "billing_account_id",
-        "churn_month",
-        "contraction_month",
-        "total_activity_last_3_months",
-        _status(with_contracted).alias("retention_status"),
-    )
-    outcomes = outcomes.where(F.col("retention_status").isNotNull())
+
+    Each account's outcome is expanded to the few months it selects, so the join is on
+    (account, month): a hot account's rows meet by month, not in one task, and the two keys
+    are one struct, so that the outcomes' partitioning by account is not taken over. The
+    months that any account can select, a few rows per calendar month, are broadcast and
+    prune the month folders of the mart at run time."""
+    selected = selected_months(mart, as_of, rules, with_contracted)
     rows = mart.where(F.col("is_new_account") == 0).select(
         "billing_account_id", "snapshot_month", "customer_segment", *COHORT_MEASURES
     )
-    j = rows.join(outcomes, on="billing_account_id", how="inner")
-    month = F.col("snapshot_month")
+    rows = rows.join(F.broadcast(_months_in_reach(mart, as_of, rules)), on="snapshot_month", how="left_semi")
+    left, right = (F.struct(f"{t}.billing_account_id", f"{t}.snapshot_month") for t in ("r", "s"))
+    j = rows.alias("r").join(selected.alias("s"), on=left == right, how="inner")
+    return j.select("r.billing_account_id", "r.customer_segment", "s.retention_status", *[f"r.{c}" for c in COHORT_MEASURES])
 
-    def before(event: str) -> Column:
-        return (month < F.col(event)) & (month >= F.add_months(F.col(event), -rules.pre_event_months))
 
-    status = F.col("retention_status")
-    keep = (
-        ((status == F.lit("churned")) & before("churn_month"))
-        | ((status == F.lit("contracted")) & before("contraction_month"))
-        | (status.startswith("retained_") & (month >= _lookback_start(as_of, rules)))
-    )
-    return j.where(keep).select(*COHORT_COLUMNS)
+def _months_in_reach(mart: DataFrame, as_of: dt.date | str, rules: Rules) -> DataFrame:
+    """The months that a churn or contraction in the mart, or the look-back, can select."""
+    month, none = F.col("snapshot_month"), F.array().cast("array<date>")
+    seen = mart.groupBy(month).agg(F.max(flag(F.col("arr_movement_type").isin("churned", "contraction"))).alias("event"))
+    before = F.array(*[F.add_months(month, -k) for k in range(1, rules.pre_event_months + 1)]).cast("array<date>")
+    event, recent = F.col("event") == 1, month >= _lookback_start(as_date(as_of), rules)
+    reach = F.concat(F.when(event, before).otherwise(none), F.when(recent, F.array(month)).otherwise(none))
+    # the filter also tells the optimizer that this side is worth a pruning of the other
+    return seen.where(event | recent).select(F.explode(reach).alias("snapshot_month"))
+
+
+def selected_months(
+    mart: DataFrame, as_of: dt.date | str, rules: Rules = Rules(), with_contracted: bool = True
+) -> DataFrame:
+    """(account, month, retention_status): the ``pre_event_months`` before the first churn or
+    contraction, or the look-back months up to the latest for retained accounts."""
+    as_of = as_date(as_of)
+    outcomes = account_outcomes(mart, as_of, rules).withColumn("retention_status", _status(with_contracted))
+    status, latest = F.col("retention_status"), latest_month(mart)
+    event = F.when(status == F.lit("churned"), F.col("churn_month")).when(status == F.lit("contracted"), F.col("contraction_month"))
+    before = F.array(*[F.add_months(event, -k) for k in range(1, rules.pre_event_months + 1)]).cast("array<date>")
+    start = _lookback_start(as_of, rules)
+    back = F.when(latest >= start, F.sequence(start, latest, F.expr("interval 1 month")))
+    months = F.when(status.startswith("retained_"), back).otherwise(before)
+    chosen = outcomes.where(status.isin("churned", "contracted", "retained_active", "retained_inactive"))
+    return chosen.select("billing_account_id", F.explode(months).alias("snapshot_month"), "retention_status")
 
 
 def _profile(rows: DataFrame, keys: list[str], averages) -> DataFrame:

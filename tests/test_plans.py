@@ -113,3 +113,13 @@ def test_mart_exchange_budget(ctx):
     df = lifecycle_mart(build_models(ctx.src), ctx.as_of)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 16
+
+
+def test_retention_prunes_months_and_joins_by_account_and_month(spark):
+    ctx = catalog.Context(spark, SF)
+    df = reports.retention_cohorts(ctx.mart, ctx.as_of)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "total_meetings" in line and "PartitionFilters" in line]
+    assert scans and all("dynamicpruning" in line for line in scans)
+    # the rows of one account meet by month: the join's shuffles are on both
+    assert plan.count("Exchange hashpartitioning(struct(") == 2 and "CartesianProduct" not in plan
