@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor rereads files instead of recomputing, and values
     that depend on the partitioning (row ids) keep the value that was written."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -87,7 +87,7 @@ def _shipped(application: str, spark: SparkSession) -> None:
 #: 10,000 long texts is copied several times on its way to Python and back.
 BATCH_ROWS = 1024
 #: Bytes of texts that a task works on at a time (one text at least).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

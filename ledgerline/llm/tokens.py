@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: a Python worker remembers the ids of at most twice as many words (about 140 bytes each)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: bytes of the longest word that is remembered
 LONGEST_CACHED = 64
 #: Letters before this one are their own composed form.
