@@ -66,7 +66,8 @@ def carried(docs: DataFrame, carry: Sequence[str], text_col: str, result: str) -
     carried and the ``result`` columns. A result column wins over a carried one of its name."""
     made = T.StructType.fromDDL(result)
     kept = [c for c in dict.fromkeys(carry) if c not in made.names]
-    rows = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("__t"))
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = docs.select(*[named(c).alias(f"__c{i}") for i, c in enumerate(kept)], named(text_col).alias("__t"))
     fields = [T.StructField(c, f.dataType) for c, f in zip(kept, rows.schema)]
     return rows, T.StructType([*fields, *made])
 

@@ -6,8 +6,9 @@ are cut by element name and role, and by class and id: when all words of a class
 boilerplate (``ad``, ``cookie-notice``, ``main-nav``), unless it is the id of a title (on a
 heading, or the heading below says the same); when the name has another meaning too
 (``notice``, ``related``), only if the subtree is short or mostly links; when one word of a
-longer name does (``related-work``), only if it is mostly links or a short label. Headings
-and paragraphs stay when the name has another meaning too. Each remaining block passes
+longer name does (``related-work``), only if it is mostly links or a short label. Inside an
+``article`` or ``main`` such names cut only what is mostly links, whatever its size; an article's own
+header stays. Headings and paragraphs stay when the name has another meaning too. Each remaining block passes
 points for its length and commas to its ancestors, halved at each step up; a node's score
 is discounted by its share of link text. The best node is the main container, widened to
 the ``article`` or ``main`` around it. Beside it, and beside each element around it up to
@@ -19,6 +20,9 @@ is the container of both, and its elements with few links all stay. All in page
 Blocks are joined by two line feeds. Character references are decoded, white space inside
 a block becomes one space.
 
+A quote opens an attribute's value only after ``=``, and only if it is closed somewhere; a tag ends
+at the next ``>`` outside values. Time is proportional to the page, however deep or broken.
+
 Defined results: null, empty or text-free html gives an empty text; broken markup is read as far
 as it goes (unclosed and stray tags, a missing body). An empty table gives an empty
 result. The columns named in ``carry`` come along; a result column wins over a carried one
@@ -29,7 +33,8 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -44,8 +49,8 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "noframes", "xmp")
-CUT = frozenset("nav header footer aside form button select option input label fieldset dialog menu head object audio video canvas".split())
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "noframes", "xmp")
+CUT = frozenset("nav header footer aside form button select option input fieldset dialog menu head object audio video canvas".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 #: words of class and id, split at anything but letters and digits, and at inner capitals
 CUT_WORDS = frozenset(
@@ -84,12 +89,9 @@ LINK_LIMIT = 0.5
 #: characters of a short subtree with an ambiguous name, and of a label
 SHORT, LABEL = 200, 80
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)", re.S)
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+SPACE = re.compile(r"\s*")
 ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+))|([^\s=/]+)")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -123,7 +125,8 @@ def _named(token: str, is_id: bool) -> tuple[str, bool, list[str]] | None:
         return "part", is_id, words
     if any(w in READERS for w in said):
         return "readers", is_id, words
-    return "ambiguous" if all(w in AMBIGUOUS for w in said) else "exact", is_id, words
+    alone = len(said) == 1 and said[0] in AMBIGUOUS  # two such words together have no other meaning
+    return "ambiguous" if alone else "exact", is_id, words
 
 
 def _is_cut(name: str, attrs: str) -> tuple[bool, Sequence[tuple[str, bool, list[str]]]]:
@@ -153,8 +156,8 @@ def _is_cut(name: str, attrs: str) -> tuple[bool, Sequence[tuple[str, bool, list
     return False, names
 
 
-def _goes(node: Node, title: list[str], prose: bool) -> bool:
-    """Whether one of the names of a suspected node cuts it, from what is in it."""
+def _goes(node: Node, title: list[str], prose: bool, inside: bool) -> bool:
+    """Whether one of the names of a suspected node cuts it, from what is in it; ``inside``: of an article or main."""
     if node.linked > LINK_LIMIT * node.chars:
         return True
     for kind, is_id, words in node.suspect:
@@ -162,6 +165,8 @@ def _goes(node: Node, title: list[str], prose: bool) -> bool:
             continue
         if kind == "exact":
             return True
+        if inside:  # a name with another meaning is no reason to drop text of the article
+            continue
         if kind == "ambiguous" and node.name not in ("p", "pre", "blockquote") and node.chars < SHORT:
             return True
         if kind == "part" and node.chars < LABEL and not prose and node.name not in ("p", "pre", "blockquote", "li"):
@@ -172,9 +177,12 @@ def _goes(node: Node, title: list[str], prose: bool) -> bool:
 def _judge(root: Node) -> None:
     """Cuts the suspected nodes that go, inner ones first."""
     order, stack = [], [root]
+    inside: set[Node] = set()
     while stack:
         node = stack.pop()
         order.append(node)
+        if node.name in ("article", "main") or node.parent in inside:
+            inside.add(node)
         stack.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.cut)
     size: dict[Node, list[float]] = {}
     titles: dict[Node, list[str]] = {}
@@ -192,7 +200,7 @@ def _judge(root: Node) -> None:
             prose.add(node)
         if node.suspect:
             node.chars, node.linked = chars, linked
-            node.cut = _goes(node, titles.get(node, []), node in prose)
+            node.cut = _goes(node, titles.get(node, []), node in prose, node in inside)
             node.chars = node.linked = 0.0
         if node.parent is not None and not node.cut:
             size[node.parent] = [a + b for a, b in zip(size.get(node.parent, (0.0, 0.0)), (chars, linked))]
@@ -202,75 +210,126 @@ def _judge(root: Node) -> None:
                 prose.add(node.parent)
 
 
+class _Tags:
+    """The tags of a page in order: (start, end, name, attributes, whether it is an end tag)."""
+
+    def __init__(self, page: str):
+        self.page, self.none_after = page, {'"': len(page), "'": len(page)}
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag. A quote opens a value only after ``=``, and only if it is closed."""
+        page = self.page
+        stop = page.find(">", at)
+        while stop >= 0:
+            equals = page.find("=", at, stop)
+            if equals < 0:
+                return stop
+            at = SPACE.match(page, equals + 1).end()
+            quote = page[at : at + 1]
+            if quote in self.none_after and at < self.none_after[quote]:
+                closed = page.find(quote, at + 1)
+                if closed < 0:
+                    self.none_after[quote] = at
+                else:
+                    at = closed + 1
+            if at > stop:
+                stop = page.find(">", at)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, bool]]:
+        page, at = self.page, 0
+        while m := TOKEN.search(page, at):
+            at, name = m.end(), m["name"]
+            if not name:
+                yield m.start(), at, "", "", False
+                continue
+            end = self._end(at)
+            if end < 0:  # no tag from here on has an end
+                return
+            attrs, name = page[at:end], name.lower()
+            at = end + 1
+            if name in RAW_END and not m["end"]:
+                closed = RAW_END[name].search(page, at)
+                at = closed.end() if closed else len(page)
+                name = ""
+            yield m.start(), at, name, attrs, bool(m["end"])
+
+
 def parse(page: str) -> Node:
     """The tree of block nodes; inline elements only add their text to it."""
     root = Node("html", None)
     open_: list[tuple[str, Node]] = [("html", root)]  # (element, the block node its text goes to)
+    places: dict[str, list[int]] = defaultdict(list)  # element -> where in ``open_`` it is
+    blocks: list[int] = []  # where the block elements are
     links = cuts = suspects = 0
 
     def text(raw: str) -> None:
         if not cuts and raw:
             open_[-1][1].items.append((htmllib.unescape(raw) if "&" in raw else raw, links > 0))
 
+    def push(name: str, node: Node) -> None:
+        places[name].append(len(open_))
+        if name in BLOCK:
+            blocks.append(len(open_))
+        open_.append((name, node))
+
     def close(to: int) -> None:
         nonlocal links, cuts
         while len(open_) > max(to, 1):
             name, node = open_.pop()
+            places[name].pop()
+            if name in BLOCK:
+                blocks.pop()
             links -= name == "a"
             cuts -= node.cut and node is not open_[-1][1]
 
-    def close_open(names: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i][0] in names:
-                close(i)
-                return
-            if open_[i][0] in stops:
-                return
+    def last(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
 
     at = 0
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        if not m["name"]:
+    for start, end, name, attrs, ends in _Tags(page):
+        text(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m["name"].lower()
-        if m["end"]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == name:
-                    close(i)
-                    break
-                if name not in BLOCK and open_[i][0] in BLOCK:
-                    break  # a stray inline end tag doesn't close blocks
+        block = blocks[-1] if blocks else 0
+        if ends:
+            place = last((name,))
+            if place and (name in BLOCK or place > block):  # a stray inline end tag doesn't close blocks
+                close(place)
             continue
         if name == "br":
             text("\n")
             continue
         if name in ("html", "body"):
-            if _is_cut(name, m["attrs"])[0]:
+            if _is_cut(name, attrs)[0]:
                 continue
-        if name in CLOSES_P:
-            close_open({"p"}, BLOCK - {"p"})
+        if name in CLOSES_P and open_[block][0] == "p":
+            close(block)
         if name in IMPLIED_END:
-            close_open(*IMPLIED_END[name])
+            closes, stops = IMPLIED_END[name]
+            place = last(closes)
+            if place > last(stops):
+                close(place)
         if name in VOID:
             if name == "hr":
                 open_[-1][1].items.append(Node("hr", open_[-1][1]))
             continue
-        if name == "a":
-            close_open({"a"}, BLOCK)
-        cut, suspect = (False, ()) if name in ("html", "body") else _is_cut(name, m["attrs"])
+        if name == "a" and last("a") > (blocks[-1] if blocks else 0):
+            close(last("a"))
+        cut, suspect = (False, ()) if name in ("html", "body") else _is_cut("div" if name == "header" and places["article"] else name, attrs)
         suspects += len(suspect)
         parent = open_[-1][1]
         if name in BLOCK or cut:
             node = Node(name, parent, cut, suspect)
             parent.items.append(node)
             cuts += cut
-            if not m["attrs"].endswith("/") or name in BLOCK:
-                open_.append((name, node))
+            if not attrs.endswith("/") or name in BLOCK:
+                push(name, node)
             else:
                 cuts -= cut
         else:
-            open_.append((name, parent))
+            push(name, parent)
         links += open_[-1][0] == "a" and open_[-1][1] is parent
     text(page[at:])
     if suspects:
@@ -310,16 +369,15 @@ def _score(root: Node) -> list[Node]:
             points *= 1 - linked / chars
             # a paragraph's points go to its container; text straight in a container stays there
             up = node.parent if node.name in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote") and node.parent else node
-            while up is not None:
-                up.points += points
-                points /= 2
-                up = up.parent
-            up = node
-            while up is not None:
-                up.chars += chars
-                up.linked += linked
-                up = up.parent
+            up.points += points
+            node.chars += chars
+            node.linked += linked
         stack.extend(reversed(below))
+    for node in reversed(nodes):  # inner ones first, so every node has its points by then
+        if node.parent is not None:
+            node.parent.points += node.points / 2
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     return nodes
 
 

@@ -85,15 +85,22 @@ def _train_families(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200
 
 
 def _train_svm(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 5.0) -> np.ndarray:
-    """Squared-hinge linear SVM (y is -1 or 1, classes weighted alike) by gradient descent; last: the bias."""
+    """Squared-hinge linear SVM (y is -1 or 1, classes weighted alike) by gradient descent; last: the bias.
+    A step that makes the loss worse is taken back and the rate halved, so labels that no plane parts don't diverge."""
     w = np.zeros(x.shape[1] + 1, np.float32)
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    best, least = w, np.inf
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+        loss = float((share * slack**2).sum() + 5e-5 * (w[:-1] ** 2).sum())
+        if not loss <= least:
+            w, rate = best.copy(), rate / 2
+            continue
+        best, least = w.copy(), loss
         g = -2 * share * slack * y
         w[:-1] -= rate * (x.T @ g + 1e-4 * w[:-1])
         w[-1] -= rate * g.sum()
-    return w
+    return best
 
 
 @dataclass
