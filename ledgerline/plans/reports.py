@@ -231,17 +231,14 @@ def latest_month(mart: DataFrame) -> Column:
     return mart.agg(F.max("snapshot_month")).scalar()
 
 
-def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFrame:
-    """Mart rows labelled with every leadership period they fall in (a row may be in
-    several). The latest month is a scalar sub-query, computed once; quarter and year
-    periods are cut to the months elapsed in the latest quarter / year.
+def period_flags(m: Column, last: Column, rolling_last_quarter: bool = False) -> dict[str, Column]:
+    """Whether month ``m`` lies in each leadership period that ends with month ``last``; quarter
+    and year periods are cut to the months elapsed in the latest quarter / year.
 
     "Last quarter" is quarter - 1 of the same year, as in the SQL, so it is empty when the
     latest month is in Q1; ``rolling_last_quarter=True`` takes the calendar quarter three
     months back instead (crossing the year boundary), as the report notes describe.
     """
-    last = latest_month(mart)
-    m = F.col("snapshot_month")
     months_into_quarter = months_into_period(last, "QUARTER") + 1
     months_into_year = months_into_period(last, "YEAR") + 1
     same_year = F.year(m) == F.year(last)
@@ -251,7 +248,7 @@ def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFram
         last_quarter = (F.trunc(m, "QUARTER") == F.trunc(F.add_months(last, -3), "QUARTER")) & in_q_window
     else:
         last_quarter = same_year & (F.quarter(m) == F.quarter(last) - 1) & in_q_window
-    period_flags = {
+    return {
         "this_month": m == last,
         "last_month": m == F.add_months(last, -1),
         "this_quarter": same_year & (F.quarter(m) == F.quarter(last)) & in_q_window,
@@ -259,7 +256,20 @@ def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFram
         "this_year": same_year & in_y_window,
         "last_year": (F.year(m) == F.year(last) - 1) & in_y_window,
     }
-    names = F.array_compact(F.array(*[F.when(period_flags[p], F.lit(p)) for p in PERIODS]))
+
+
+def _recent(mart: DataFrame, last: Column) -> DataFrame:
+    """Only the latest two calendar years can fall in any period (a range on the month
+    itself, so it prunes month folders when ``last`` is a literal)."""
+    return mart.where(F.col("snapshot_month") >= F.make_date(F.year(last) - 1, F.lit(1), F.lit(1)))
+
+
+def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFrame:
+    """Mart rows labelled with every leadership period they fall in (a row may be in
+    several; see ``period_flags``). The latest month is a scalar sub-query, computed once."""
+    last = latest_month(mart)
+    in_period = period_flags(F.col("snapshot_month"), last, rolling_last_quarter)
+    names = F.array_compact(F.array(*[F.when(in_period[p], F.lit(p)) for p in PERIODS]))
     cols = [
         "billing_account_id",
         "customer_segment",
@@ -272,79 +282,116 @@ def period_rows(mart: DataFrame, rolling_last_quarter: bool = False) -> DataFram
         "lifecycle_segment",
         "is_expansion_ready",
     ]
-    # Only the latest two calendar years can fall in any period (a range on the month
-    # itself, so it prunes month folders when ``last`` is a literal).
-    recent = mart.where(m >= F.make_date(F.year(last) - 1, F.lit(1), F.lit(1))).select(*cols)
-    return recent.select(F.explode(names).alias("period_name"), *cols)
+    return _recent(mart, last).select(F.explode(names).alias("period_name"), *cols)
 
 
 _ACCOUNT_FLAGS = ("healthy", "at_risk", "under_adopted", "expansion_ready")
 _BILLING_MEASURES = ("ending_arr", "arr_change", "active_users", "total_activity", "total_meetings")
 
 
+def _row_flags() -> dict[str, Column]:
+    seg = F.col("lifecycle_segment")
+    flags = {v: flag(seg == F.lit(v)) for v in ("healthy", "at_risk", "under_adopted")}
+    return flags | {"expansion_ready": flag(F.col("is_expansion_ready") == 1)}
+
+
 def leadership_summary(
     mart: DataFrame,
     rolling_last_quarter: bool = False,
     dedup_app_rows: bool = False,
     period_end_arr: bool = False,
 ) -> DataFrame:
-    """Q7: per period and segment, plus an ``overall`` row per period.
-
-    Level 1 collapses rows to (period, segment, account) with sums and max flags, so
-    the distinct account counts become plain sums. The overall rows merge level 1 over
-    the segments first, so an account with two segments counts once.
+    """Q7: per period and segment, plus an ``overall`` row per period, in which an account
+    with two segments counts once.
 
     Options (off by default, the SQL's semantics): ``dedup_app_rows`` counts the
     billing-level measures once per account-month instead of once per app row;
     ``period_end_arr`` reports each account's ending ARR of its last month in the
     period (a balance) instead of the sum over months.
     """
+    if not (dedup_app_rows or period_end_arr):
+        return _summary_by_masks(mart, rolling_last_quarter)
     rows = period_rows(mart, rolling_last_quarter)
-    seg = F.col("lifecycle_segment")
-    flags = [F.max(flag(seg == F.lit(v))).alias(v) for v in ("healthy", "at_risk", "under_adopted")]
-    flags.append(F.max(flag(F.col("is_expansion_ready") == 1)).alias("expansion_ready"))
     by_segment, overall = ["period_name", "customer_segment"], ["period_name"]
-    if dedup_app_rows or period_end_arr:
-        # billing-level measures repeat on every app row of an account-month: keep one
-        months = rows.groupBy(*by_segment, "billing_account_id", "snapshot_month").agg(
-            *[F.max(c).alias(c) for c in _BILLING_MEASURES], F.count(F.lit(1)).alias("app_rows"), *flags
-        )
-        all_months = months.groupBy(*overall, "billing_account_id", "snapshot_month").agg(
-            *[F.max(c).alias(c) for c in (*_BILLING_MEASURES, *_ACCOUNT_FLAGS)], F.sum("app_rows").alias("app_rows")
+    # billing-level measures repeat on every app row of an account-month: keep one
+    months = rows.groupBy(*by_segment, "billing_account_id", "snapshot_month").agg(
+        *[F.max(c).alias(c) for c in _BILLING_MEASURES],
+        F.count(F.lit(1)).alias("app_rows"),
+        *[F.max(c).alias(name) for name, c in _row_flags().items()],
+    )
+    all_months = months.groupBy(*overall, "billing_account_id", "snapshot_month").agg(
+        *[F.max(c).alias(c) for c in (*_BILLING_MEASURES, *_ACCOUNT_FLAGS)], F.sum("app_rows").alias("app_rows")
+    )
+    weight = F.lit(1) if dedup_app_rows else F.col("app_rows")
+
+    def per_account(frame: DataFrame, keys: list[str]) -> DataFrame:
+        sums = {c: F.sum(F.col(c) * weight) for c in _BILLING_MEASURES} | {"row_count": F.sum(weight)}
+        if period_end_arr:
+            sums["ending_arr"] = F.max_by("ending_arr", "snapshot_month")
+        return frame.groupBy(*keys, "billing_account_id").agg(
+            F.lit(1).alias("accounts"),
+            *[v.alias(c) for c, v in sums.items()],
+            *[F.max(c).alias(c) for c in _ACCOUNT_FLAGS],
         )
-        weight = F.lit(1) if dedup_app_rows else F.col("app_rows")
 
-        def per_account(frame: DataFrame, keys: list[str]) -> DataFrame:
-            sums = {c: F.sum(F.col(c) * weight) for c in _BILLING_MEASURES} | {"row_count": F.sum(weight)}
-            if period_end_arr:
-                sums["ending_arr"] = F.max_by("ending_arr", "snapshot_month")
-            return frame.groupBy(*keys, "billing_account_id").agg(
-                *[v.alias(c) for c, v in sums.items()], *[F.max(c).alias(c) for c in _ACCOUNT_FLAGS]
-            )
+    everyone = _summary(per_account(all_months, overall), overall).withColumn("customer_segment", F.lit("overall"))
+    return _summary(per_account(months, by_segment), by_segment).unionByName(everyone)
 
-        accounts, all_accounts = per_account(months, by_segment), per_account(all_months, overall)
-    else:
-        accounts = rows.groupBy(*by_segment, "billing_account_id").agg(
-            *[F.sum(c).alias(c) for c in _BILLING_MEASURES], F.count(F.lit(1)).alias("row_count"), *flags
-        )
-        # an account's segments (few) and their total come from one aggregate, so the mart is read once
-        names = [*_BILLING_MEASURES, "row_count", *_ACCOUNT_FLAGS]
-        merged = accounts.groupBy(*overall, "billing_account_id").agg(
-            F.collect_list(F.struct(F.lit(False).alias("_all"), "customer_segment", *names)).alias("parts"),
-            *[F.sum(c).alias(c) for c in (*_BILLING_MEASURES, "row_count")],
-            *[F.max(c).alias(c) for c in _ACCOUNT_FLAGS],
-        )
-        total = F.struct(F.lit(True).alias("_all"), F.lit("overall").alias("customer_segment"), *names)
-        both = merged.select("period_name", F.explode(F.concat("parts", F.array(total))).alias("p"))
-        return _summary(both.select("period_name", "p.*"), [*by_segment, "_all"])
-    everyone = _summary(all_accounts, overall).withColumn("customer_segment", F.lit("overall"))
-    return _summary(accounts, by_segment).unionByName(everyone)
+
+# bits of a period in an account's mask: present, then one for each account flag
+_MASK_BITS = 1 + len(_ACCOUNT_FLAGS)
+
+
+def _summary_by_masks(mart: DataFrame, rolling_last_quarter: bool) -> DataFrame:
+    """Exact distinct counts from masks that merge by OR.
+
+    A row's mask has, for each period it lies in, a bit for being there and one for each of
+    its flags (6 x 5 bits, one int). An account's mask is the OR over its rows, whichever tasks
+    they lie in, so one narrow row per account is shuffled, however many periods it is in, and
+    its total over segments is one more group of the same aggregate. Measures need no account:
+    they are summed by month and segment, the third grouping set of the one pass.
+    """
+    last = latest_month(mart)
+    in_period = period_flags(F.col("snapshot_month"), last, rolling_last_quarter)
+    keys = ("billing_account_id", "customer_segment", "snapshot_month")
+    rows = _recent(mart, last).select(
+        *keys, *_BILLING_MEASURES, *[c.alias(p) for p, c in in_period.items()], *[c.alias(f) for f, c in _row_flags().items()]
+    )
+    # both factors are sums of powers of two and no two products meet: nothing is carried
+    periods = " + ".join(f"if({p}, {1 << _MASK_BITS * i}, 0)" for i, p in enumerate(PERIODS))
+    bits = " + ".join(f"{2 << k} * {f}" for k, f in enumerate(_ACCOUNT_FLAGS))
+    rows = rows.selectExpr(*keys, *_BILLING_MEASURES, f"({periods}) * (1 + {bits}) AS mask")
+    in_segment, in_any, measured = keys[:2], keys[:1], keys[1:]
+    groups = rows.groupingSets([in_segment, in_any, measured], *keys).agg(
+        F.grouping("billing_account_id").alias("is_measured"),
+        F.grouping("customer_segment").alias("is_total"),
+        F.bit_or("mask").alias("mask"),
+        *[F.sum(c).alias(c) for c in _BILLING_MEASURES],
+        F.count(F.lit(1)).alias("row_count"),
+    )
+    each = groups.selectExpr("*", f"explode(sequence(0, {len(PERIODS) - 1})) AS period").where(
+        f"bit_get(mask, {_MASK_BITS} * period) = 1"
+    )
+    # an account of a segment counts there, an account of any segment in the total, a measure in both
+    parts = each.selectExpr(
+        "period",
+        "customer_segment",
+        "explode(if(is_measured = 0, array(is_total = 1), array(false, true))) AS _all",
+        *[
+            f"if(is_measured = 0, int(bit_get(mask, {_MASK_BITS} * period + {k})), NULL) AS {c}"
+            for k, c in enumerate(("accounts", *_ACCOUNT_FLAGS))
+        ],
+        *[f"if(is_measured = 1, {c}, NULL) AS {c}" for c in (*_BILLING_MEASURES, "row_count")],
+    ).withColumn("customer_segment", F.expr("if(_all, 'overall', customer_segment)"))
+    out = _summary(parts, ["period", "customer_segment", "_all"]).drop("_all")
+    names = ", ".join(f"'{p}'" for p in PERIODS)
+    return out.withColumn("period", F.expr(f"array({names})[period]")).withColumnRenamed("period", "period_name")
 
 
 def _summary(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals over per-account rows (one row per account and ``keys``)."""
-    out = frame.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_accounts"),
+    """Totals over ``keys`` of rows that hold accounts (counted once each), measures or both."""
+    return frame.groupBy(*keys).agg(
+        F.sum("accounts").alias("total_accounts"),
         round_half_away(F.sum("ending_arr"), 2).alias("ending_arr"),
         round_half_away(F.sum("arr_change"), 2).alias("arr_change"),
         round_half_away(F.sum("active_users") / F.sum("row_count"), 2).alias("avg_active_users"),
@@ -352,7 +399,6 @@ def _summary(frame: DataFrame, keys: list[str]) -> DataFrame:
         round_half_away(F.sum("total_meetings"), 2).alias("total_meetings"),
         *[F.sum(c).alias(c) for c in _ACCOUNT_FLAGS],
     )
-    return out.drop("_all")
 
 
 # ---------------------------------------------------------------- label views
