@@ -22,6 +22,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from ledgerline import publish
+from ledgerline.operators.signals import heavy_accounts
 from ledgerline.plans import quality, sinks, state
 from ledgerline.plans.mart import build_models, lifecycle_mart
 from ledgerline.rules import Rules, as_date
@@ -48,7 +49,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
         m = build_models(src, kept.user_month, kept.arr_monthly)
     else:
         m = build_models(src)
-    plan = lifecycle_mart(m, as_of, rules)
+    plan = lifecycle_mart(m, as_of, rules, heavy_accounts(m.bridge))
     sinks.write_mart(plan, written["mart"])
     mart = read_back(spark, written["mart"], plan.schema, "snapshot_month")
     for name, path in sinks.export_reports(mart, as_of, f"{out}/reports", rules).items():

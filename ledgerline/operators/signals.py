@@ -6,12 +6,18 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.activity import DAYS_WITH, flag
 from ledgerline.functions.dates import as_of_month, month_index, month_start
 from ledgerline.functions.numeric import exact_avg
 from ledgerline.rules import Rules
 
+# App rows of one account that may meet in one task of the fan-out, each with all of the account's months.
+APPS_PER_SLICE = 2000
+# No account below this part of all app rows is split, which bounds the number of accounts that are.
+MAX_HEAVY = 1024
+
 # Monthly usage totals in the order the billing roll-up emits them.
 USAGE_SIGNAL_COLUMNS = (
     "total_activity",
@@ -109,26 +115,63 @@ def adoption_by_billing_month(adoption_monthly: DataFrame, bridge: DataFrame) ->
     return g.withColumn("prev_month_active_user_rate", F.lag("active_user_rate").over(w))
 
 
-def account_apps(bridge: DataFrame, stg_billing: DataFrame) -> DataFrame:
-    """Billing x app attributes of the spine (before the month fan-out).
+def heavy_accounts(bridge: DataFrame, apps_per_slice: int = APPS_PER_SLICE) -> dict:
+    """Billing accounts with so many app rows that their fan-out is split, and into how many slices.
+
+    One small job: counts by account (partial aggregates), of which only accounts above both
+    ``apps_per_slice`` and 1/``MAX_HEAVY`` of all rows are fetched, so fewer than ``MAX_HEAVY``
+    however large the table. A slice has about as many rows as the larger of the two limits."""
+    apps = bridge.groupBy("billing_account_id").agg(F.count(F.lit(1)).alias("apps"))
+    limit = F.greatest(F.lit(apps_per_slice), F.ceil(apps.agg(F.sum("apps")).scalar() / F.lit(MAX_HEAVY)))
+    slices = F.ceil(F.col("apps") / limit).cast("int").alias("slices")
+    return {r[0]: r[1] for r in apps.where(F.col("apps") > limit).select("billing_account_id", slices).collect()}
+
+
+def _in_slices(side: DataFrame, heavy: dict, own: Column | None = None) -> DataFrame:
+    """``side`` dealt out by account and slice: a row goes to the slice that its hash ``own``
+    names, or to each slice of its account. Other accounts have one slice. The number of
+    partitions is given, so that slices that are small before the fan-out are not merged."""
+    spark = side.sparkSession
+    schema = T.StructType([side.schema["billing_account_id"], T.StructField("_slices", T.IntegerType())])
+    counted = side.join(F.broadcast(spark.createDataFrame(list(heavy.items()), schema)), "billing_account_id", "left")
+    n = F.coalesce(F.col("_slices"), F.lit(1))
+    dealt = F.explode(F.sequence(F.lit(0), n - 1)) if own is None else F.pmod(own, n).cast("int")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return counted.select(*side.columns, dealt.alias("_slice")).repartition(partitions, "billing_account_id", "_slice")
+
+
+def app_fan_out(bridge: DataFrame, stg_billing: DataFrame, by_month: DataFrame, heavy: dict | None = None) -> DataFrame:
+    """Billing x app attributes of the spine for every row of ``by_month`` of the account.
 
     Every attribute row of a billing id meets every app of that id, also when the id is
     repeated with other attributes or another bridge. Both sides are dealt out by billing
-    id once; making them distinct and joining them then needs no further exchange."""
+    id once; making them distinct and joining them then needs no further exchange.
+
+    With ``heavy`` (``heavy_accounts``) the apps of those accounts are dealt to slices, the
+    account's attributes and months (both few) go to each slice, and no task gets a whole heavy
+    account; this shuffles ``by_month`` once more, so it is done only when there is such an
+    account."""
     attributes = stg_billing.select(
         "billing_account_id", "billing_account_name", "customer_segment", F.col("created_date").alias("billing_created_date")
-    ).repartition("billing_account_id")
-    apps = bridge.select("billing_account_id", "app_account_id", "app_signup_date", "trial_end_date").repartition(
-        "billing_account_id"
     )
-    return attributes.dropDuplicates().join(apps.dropDuplicates(), on="billing_account_id", how="inner")
+    apps = bridge.select("billing_account_id", "app_account_id", "app_signup_date", "trial_end_date")
+    keys = ["billing_account_id"]
+    if heavy:
+        keys.append("_slice")
+        # equal rows have equal hashes, so making them distinct within slices is enough
+        apps = _in_slices(apps, heavy, F.xxhash64("app_account_id", "app_signup_date", "trial_end_date"))
+        attributes, by_month = _in_slices(attributes, heavy), _in_slices(by_month, heavy)
+    else:
+        attributes, apps = attributes.repartition("billing_account_id"), apps.repartition("billing_account_id")
+    joined = attributes.dropDuplicates().join(apps.dropDuplicates(), on=keys, how="inner")
+    return joined.join(by_month, on=keys, how="inner").drop("_slice")
 
 
-def account_spine(bridge: DataFrame, stg_billing: DataFrame, stg_arr: DataFrame) -> DataFrame:
+def account_spine(bridge: DataFrame, stg_billing: DataFrame, stg_arr: DataFrame, heavy: dict | None = None) -> DataFrame:
     """Billing x app account x month: every month with ARR rows of a staged billing
     account. Months are made distinct *before* the join, so daily ARR rows never fan out."""
     months = stg_arr.select("billing_account_id", month_start("date").alias("snapshot_month")).distinct()
-    return account_apps(bridge, stg_billing).join(months, on="billing_account_id", how="inner")
+    return app_fan_out(bridge, stg_billing, months, heavy)
 
 
 def new_account_flag(rules: Rules = Rules()) -> Column:

@@ -25,10 +25,11 @@ from ledgerline.operators.intermediate import (
 )
 from ledgerline.operators.signals import (
     USAGE_SIGNAL_COLUMNS,
-    account_apps,
     activity_by_billing_month,
+    app_fan_out,
     arr_signals,
     expansion_flags,
+    heavy_accounts,
     new_account_flag,
 )
 from ledgerline.operators.staging import Staged, stage
@@ -130,11 +131,12 @@ def billing_month_signals(m: Models, as_of: dt.date, rules: Rules = Rules()) ->
     return arr.join(activity, on=["billing_account_id", "snapshot_month"], how="left")
 
 
-def segment_scores(m: Models, as_of: dt.date | str, rules: Rules = Rules()) -> DataFrame:
-    """Spine x signals with zero-filled measures and the new-account flag (40 columns)."""
+def segment_scores(m: Models, as_of: dt.date | str, rules: Rules = Rules(), heavy: dict | None = None) -> DataFrame:
+    """Spine x signals with zero-filled measures and the new-account flag (40 columns).
+    The fan-out of the accounts in ``heavy`` is split (``signals.app_fan_out``)."""
     as_of = as_date(as_of)
     signals = billing_month_signals(m, as_of, rules)
-    rows = account_apps(m.bridge, m.staged.billing_accounts).join(signals, on="billing_account_id", how="inner")
+    rows = app_fan_out(m.bridge, m.staged.billing_accounts, signals, heavy)
     filled = {c: F.coalesce(F.col(c), F.lit(0)) for c in _ZERO_FILLED}
     filled["is_new_account"] = new_account_flag(rules)
     return rows.withColumns(filled).select(*SCORE_COLUMNS)
@@ -151,15 +153,22 @@ def add_labels(scores: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return labelled.withColumn("recommended_action", classify.recommended_action(rules))
 
 
-def lifecycle_mart(m: Models, as_of: dt.date | str, rules: Rules = Rules()) -> DataFrame:
-    """The 44-column mart, lazily."""
-    return add_labels(segment_scores(m, as_of, rules), rules)
+def lifecycle_mart(m: Models, as_of: dt.date | str, rules: Rules = Rules(), heavy: dict | None = None) -> DataFrame:
+    """The 44-column mart, lazily; ``heavy`` as in ``segment_scores``."""
+    return add_labels(segment_scores(m, as_of, rules, heavy), rules)
 
 
 def materialized_mart(src: Sources, as_of: dt.date | str, source_key: str, rules: Rules = Rules()) -> DataFrame:
     """The mart written once per (sources, as_of, rules) to the shared checkpoint folder,
     partitioned by month, and read back for the reports."""
     as_of = as_date(as_of)
-    mart = lifecycle_mart(build_models(src), as_of, rules)
+    m = build_models(src)
     key = f"{source_key}|{as_of.isoformat()}|{rules!r}"
-    return materialize(mart, "mart", key, partition_by="snapshot_month", cluster_by=("billing_account_id",))
+    return materialize(
+        lifecycle_mart(m, as_of, rules),
+        "mart",
+        key,
+        partition_by="snapshot_month",
+        cluster_by=("billing_account_id",),
+        write_as=lambda: lifecycle_mart(m, as_of, rules, heavy_accounts(m.bridge)),
+    )

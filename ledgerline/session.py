@@ -6,6 +6,7 @@ import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +120,7 @@ def materialize(
     key: str,
     partition_by: str | None = None,
     cluster_by: tuple[str, ...] = (),
+    write_as: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
@@ -126,7 +128,8 @@ def materialize(
     whole mart) and lets later reports prune columns and partitions. The same
     ``key`` within one checkpoint folder reuses the written table. With no
     checkpoint folder configured the lazy plan is returned unchanged. The key must name
-    the inputs (and their versions); the package's code version is added to it.
+    the inputs (and their versions); the package's code version is added to it. ``write_as``
+    gives an equal plan whose making runs a job, and is called only for a table not yet written.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
@@ -138,7 +141,7 @@ def materialize(
     if cache_key not in _WRITTEN and _complete(spark, path):
         _WRITTEN[cache_key] = path
     if cache_key not in _WRITTEN:
-        out = df
+        out = write_as() if write_as else df
         if partition_by:
             # REBALANCE on the partition column: AQE groups rows by month, merges small
             # months and splits a month larger than the advisory size across tasks, with

@@ -1,0 +1,69 @@
+"""The account x app fan-out of the mart when one account holds a third of the apps."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.operators import signals
+from ledgerline.plans.mart import build_models, segment_scores
+from tests.conftest import D, app, arr_row, billing, make_sources
+
+AS_OF = D(2024, 4, 1)
+HOT, ACCOUNTS, APPS = 1, 41, 240
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    """Account 1 has 120 of 360 apps; a repeated id, an id with two bridges, ids without a bridge."""
+    accounts = [billing(n, bridge=n, created=D(2020, 1, n % 28 + 1)) for n in range(1, ACCOUNTS)]
+    accounts += [billing(HOT, bridge=HOT, segment="Large"), billing(2, bridge=3), billing(500), billing(501, bridge=999)]
+    apps = [app(n, HOT if n < APPS // 2 else 2 + n % (ACCOUNTS - 2), signup=D(2021, n % 12 + 1, 1)) for n in range(APPS + 120)]
+    arr = [arr_row(D(2024, m, 1), b, 100 * m, 100 * m) for b in [*range(1, ACCOUNTS), 500, 501, 777] for m in (1, 2, 3)]
+    return build_models(make_sources(spark, billing=accounts, apps=apps, arr=arr))
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_heavy_accounts_are_found_from_counts(models):
+    """Only the hot account is above the limit; its 240 bridge rows (two attribute rows) make 24 slices."""
+    assert signals.heavy_accounts(models.bridge, apps_per_slice=50) == {HOT: 5}
+    assert signals.heavy_accounts(models.bridge, apps_per_slice=10)[HOT] == 24
+    assert signals.heavy_accounts(models.bridge) == {}
+
+
+def test_heavy_accounts_are_fewer_than_the_bound(models, monkeypatch):
+    """Whatever the wanted slice, an account is split only above 1/MAX_HEAVY of all rows."""
+    monkeypatch.setattr(signals, "MAX_HEAVY", 3)
+    assert set(signals.heavy_accounts(models.bridge, apps_per_slice=1)) == {HOT}
+
+
+def test_split_gives_the_same_rows(models):
+    whole = _rows(segment_scores(models, AS_OF))
+    for limit in (1, 3, 50):
+        heavy = signals.heavy_accounts(models.bridge, apps_per_slice=limit)
+        assert heavy and _rows(segment_scores(models, AS_OF, heavy=heavy)) == whole
+    spine = signals.account_spine(models.bridge, models.staged.billing_accounts, models.staged.arr_daily)
+    heavy = signals.heavy_accounts(models.bridge, apps_per_slice=10)
+    split = signals.account_spine(models.bridge, models.staged.billing_accounts, models.staged.arr_daily, heavy)
+    assert split.columns == spine.columns and _rows(split) == _rows(spine)
+
+
+def test_no_task_gets_the_whole_hot_account(spark, models):
+    """Over 16 tasks the hot account's rows lie in many; unsplit, they all lie in one."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+
+        def largest_share(heavy):
+            rows = segment_scores(models, AS_OF, heavy=heavy).where(F.col("billing_account_id") == HOT)
+            counts = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+            return max(counts) / sum(counts), len(counts)
+
+        assert largest_share(None) == (1.0, 1)
+        share, tasks = largest_share(signals.heavy_accounts(models.bridge, apps_per_slice=5))
+        assert share <= 0.25 and tasks >= 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
