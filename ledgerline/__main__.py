@@ -4,7 +4,8 @@
     spark-submit ... -m ledgerline --parquet DIR --as-of 2026-05-01 --out DIR
 
 Writes ``mart`` (parquet by month), ``reports/<name>`` (sorted CSV with a header) and
-``checks/<name>`` (sorted CSV; empty means the check passed) to ``OUT/runs/<id>``, and names
+``checks/<name>`` (sorted CSV; empty means the check passed), with ``--profiles`` also
+``profiles/<name>`` (sorted CSV), to ``OUT/runs/<id>``, and names
 that run in ``OUT/published`` when all of it is there, so a run that fails leaves the former
 one published (``ledgerline.publish.published_run``). Every run builds the mart from the inputs
 as they are now, writes it once, and reads the reports from that table. With ``--state DIR``
@@ -69,6 +70,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
         path = f"{out}/checks/{name}"
         sinks.write_csv_report(df, path, sinks.CHECK_ORDER[name])
         written[f"checks/{name}"] = path
+    if args.profiles:
+        for name, path in sinks.export_profiles(src, m.arr_monthly, f"{out}/profiles").items():
+            written[f"profiles/{name}"] = path
     publish.publish_run(spark, args.out.rstrip("/"), run_id)
     return written
 
@@ -84,6 +88,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--id-type", choices=["string", "bigint"], default="string", help="type of the id columns")
     ap.add_argument("--trailing-expansion", action="store_true", help="trailing 3-month expansion window")
     ap.add_argument("--state", help="folder of the monthly aggregates kept between runs (with --parquet)")
+    ap.add_argument("--profiles", action="store_true", help="also write the profiling listings")
     args = ap.parse_args(argv)
     if args.state and not args.parquet:
         ap.error("--state needs --parquet")

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.plans import reports
+from ledgerline.plans import profile, reports
 from ledgerline.rules import Rules
+from ledgerline.sources.files import Sources
 
 # Report name -> sort keys of the exported file ("-": descending).
 REPORT_ORDER = {
@@ -30,6 +31,29 @@ CHECK_ORDER = {
     "dq_not_null": ("model", "column_name"),
     "dq_accepted_values": ("column_name",),
 }
+# The listings: largest count first, ties by the group keys; otherwise by date or group.
+PROFILE_ORDER = {
+    "names_per_bridge": ("-billing_account_names", "billing_account_bridge_id"),
+    "multi_app_accounts": ("-app_account_count", "billing_account_id"),
+    "bridge_profile": ("total_rows",),
+    "arr_profile": ("total_accounts",),
+    "arr_overview": ("earliest",),
+    "arr_movement_by_month": ("snapshot_month",),
+    "arr_movement_counts": ("-account_months", "arr_movement_type"),
+    "zero_arr_rows_sample": ("billing_account_id", "date"),
+    "zero_usage_app_accounts": ("signup_date", "app_account_id"),
+    "zero_usage_by_signup_month": ("signup_month",),
+    "utilisation_buckets": ("-account_months", "active_user_bucket"),
+    "utilisation_buckets_fine": ("active_user_bucket",),
+    "co_adoption": ("-account_months", "meeting_usage", "ai_chat_usage"),
+    "segment_counts": ("-count", "customer_segment"),
+    "internal_counts": ("is_internal_account",),
+    "seat_tier_top10": ("-count", "seat_tiers_array"),
+    "usage_overview": ("avg_meetings",),
+    "distinct_billing_names": ("distinct_billing_account_names",),
+}
+# listings with a row per account or bridge id, which may be long: several files, in order
+_LONG_PROFILES = ("names_per_bridge", "multi_app_accounts", "zero_usage_app_accounts")
 
 
 def write_csv_report(df: DataFrame, path: str, order_by: tuple[str, ...], single_file: bool = False) -> None:
@@ -72,3 +96,15 @@ def export_reports(mart: DataFrame, as_of: dt.date | str, out_dir: str, rules: R
         write_csv_report(df, path, REPORT_ORDER[name], single_file=name != "account_lifecycle_signals")
         paths[name] = path
     return paths
+
+
+def export_profiles(src: Sources, arr_monthly: DataFrame, out_dir: str) -> dict[str, str]:
+    """Write every profiling query as a sorted CSV (``PROFILE_ORDER``); no list is cut off but
+    the two that are a top or a sample by definition."""
+    paths = {}
+    for name, order in PROFILE_ORDER.items():
+        query = getattr(profile, name)
+        df = query(arr_monthly) if name.startswith("arr_movement") else query(src)
+        paths[name] = f"{out_dir.rstrip('/')}/{name}"
+        write_csv_report(df, paths[name], order, single_file=name not in _LONG_PROFILES)
+    return paths
