@@ -26,6 +26,7 @@ from ledgerline import publish
 from ledgerline.operators.signals import heavy_accounts
 from ledgerline.plans import quality, sinks, state
 from ledgerline.plans.mart import build_models, lifecycle_mart
+from ledgerline.plans.observed import RunChecks
 from ledgerline.rules import Rules, as_date
 from ledgerline.session import apply_sql_conf, read_back
 from ledgerline.sources import read_csv_sources, read_parquet_sources, testdata_sources
@@ -45,13 +46,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
     run_id = uuid.uuid4().hex
     out = f"{args.out.rstrip('/')}/{publish.RUNS}/{run_id}"
     written = {"mart": f"{out}/mart"}
+    seen = RunChecks()
     if args.state:
-        kept = state.refresh(spark, args.parquet, args.state, id_type)
+        kept = state.refresh(spark, args.parquet, args.state, id_type, seen, args.strict)
         m = build_models(src, kept.user_month, kept.arr_monthly)
     else:
-        m = build_models(src)
-    plan = lifecycle_mart(m, as_of, rules, heavy_accounts(m.bridge))
+        m = build_models(src, checks=seen)
+    plan = seen.mart(lifecycle_mart(m, as_of, rules, heavy_accounts(m.bridge)))
     sinks.write_mart(plan, written["mart"])
+    found = seen.require() if args.strict else seen.found()
     mart = read_back(spark, written["mart"], plan.schema, "snapshot_month")
     for name, path in sinks.export_reports(mart, as_of, f"{out}/reports", rules).items():
         written[f"reports/{name}"] = path
@@ -65,6 +68,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
         "dq_unique_keys": quality.dq_unique_keys(m.staged, m.bridge, m.arr_monthly),
         "dq_not_null": quality.dq_not_null(m.staged, mart),
         "dq_accepted_values": quality.dq_accepted_values(mart),
+        "run_checks": spark.createDataFrame([(n, v) for n, v in found.items() if v], "check_name string, violations bigint"),
     }
     for name, df in checks.items():
         path = f"{out}/checks/{name}"
@@ -89,6 +93,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--trailing-expansion", action="store_true", help="trailing 3-month expansion window")
     ap.add_argument("--state", help="folder of the monthly aggregates kept between runs (with --parquet)")
     ap.add_argument("--profiles", action="store_true", help="also write the profiling listings")
+    ap.add_argument("--strict", action="store_true", help="stop, with nothing published, if a check of the build finds something")
     args = ap.parse_args(argv)
     if args.state and not args.parquet:
         ap.error("--state needs --parquet")

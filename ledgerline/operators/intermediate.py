@@ -7,6 +7,8 @@ on user-month rows instead of raw daily rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,14 @@ def movement_type(first_start: Column, last_end: Column) -> Column:
     )
 
 
-def int_arr_monthly(stg_arr: DataFrame) -> DataFrame:
+def _watched_days(watch: Callable | None) -> list[Column]:
+    """For ``watch`` (``plans.observed``): rows of a key and month, and a bit for each of its days."""
+    if watch is None:
+        return []
+    return [F.count(F.lit(1)).alias("_rows"), F.expr("bit_or(shiftleft(1, day(date) - 1))").alias("_days")]
+
+
+def int_arr_monthly(stg_arr: DataFrame, watch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Daily ARR -> one row per (billing account, month).
 
     ``min_by``/``max_by`` on the date are the ordered first/last values and keep a
@@ -74,7 +83,9 @@ def int_arr_monthly(stg_arr: DataFrame) -> DataFrame:
     g = stg_arr.groupBy("billing_account_id", month_start("date").alias("snapshot_month")).agg(
         F.min_by("starting_arr", "date").alias("starting_arr"),
         F.max_by("ending_arr", "date").alias("ending_arr"),
+        *_watched_days(watch),
     )
+    g = watch(g) if watch else g
     return g.select(
         "billing_account_id",
         "snapshot_month",
@@ -85,14 +96,15 @@ def int_arr_monthly(stg_arr: DataFrame) -> DataFrame:
     )
 
 
-def user_month_usage(stg_usage: DataFrame) -> DataFrame:
+def user_month_usage(stg_usage: DataFrame, watch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Daily usage pre-aggregated to (user, month): counter sums, summed row totals,
     an activity flag and per-counter active-day counts."""
     aggs = [F.sum(c).alias(c) for c in COUNTERS]
     aggs.append(F.sum("total_activity").alias("total_activity"))
     aggs.append(F.max(flag(F.col("total_activity") > 0)).alias("is_active"))
     aggs += [F.sum(flag(F.col(c) > 0)).alias("days_" + c) for c in COUNTERS]
-    return stg_usage.groupBy("app_user_id", month_start("date").alias("snapshot_month")).agg(*aggs)
+    g = stg_usage.groupBy("app_user_id", month_start("date").alias("snapshot_month")).agg(*aggs, *_watched_days(watch))
+    return watch(g).drop("_rows", "_days") if watch else g
 
 
 def int_usage_monthly(user_month: DataFrame, stg_users: DataFrame) -> DataFrame:

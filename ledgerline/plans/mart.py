@@ -33,6 +33,7 @@ from ledgerline.operators.signals import (
     new_account_flag,
 )
 from ledgerline.operators.staging import Staged, stage
+from ledgerline.plans.observed import RunChecks
 from ledgerline.rules import Rules, as_date
 from ledgerline.session import materialize
 from ledgerline.sources.files import Sources
@@ -102,14 +103,20 @@ class Models:
     adoption_monthly: DataFrame
 
 
-def build_models(src: Sources, user_month: DataFrame | None = None, arr_monthly: DataFrame | None = None) -> Models:
-    """The models of ``src``; the monthly aggregates of the daily feeds may be given (``plans.state``)."""
+def build_models(
+    src: Sources,
+    user_month: DataFrame | None = None,
+    arr_monthly: DataFrame | None = None,
+    checks: RunChecks | None = None,
+) -> Models:
+    """The models of ``src``; the monthly aggregates of the daily feeds may be given
+    (``plans.state``). ``checks`` counts repeated days in the aggregates made here."""
     st = stage(src)
-    user_month = user_month_usage(st.usage_daily) if user_month is None else user_month
+    user_month = user_month_usage(st.usage_daily, checks and checks.usage) if user_month is None else user_month
     return Models(
         staged=st,
         bridge=int_account_bridge(st.billing_accounts, st.app_accounts),
-        arr_monthly=int_arr_monthly(st.arr_daily) if arr_monthly is None else arr_monthly,
+        arr_monthly=int_arr_monthly(st.arr_daily, checks and checks.arr) if arr_monthly is None else arr_monthly,
         user_month=user_month,
         usage_monthly=int_usage_monthly(user_month, st.app_users),
         adoption_monthly=int_user_adoption_monthly(st.app_users, user_month),

@@ -30,6 +30,7 @@ CHECK_ORDER = {
     "dq_unique_keys": ("model",),
     "dq_not_null": ("model", "column_name"),
     "dq_accepted_values": ("column_name",),
+    "run_checks": ("check_name",),
 }
 # The listings: largest count first, ties by the group keys; otherwise by date or group.
 PROFILE_ORDER = {

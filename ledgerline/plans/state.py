@@ -29,12 +29,13 @@ from ledgerline import publish
 from ledgerline.functions.dates import month_start
 from ledgerline.operators.intermediate import int_arr_monthly, user_month_usage
 from ledgerline.operators.staging import stg_arr_daily, stg_usage_daily
+from ledgerline.plans.observed import RunChecks
 from ledgerline.schemas import source_schemas
 
 # Aggregate -> its feed and how a month of it is made.
-AGGREGATES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    "user_month": ("app_usage_daily", lambda raw: user_month_usage(stg_usage_daily(raw))),
-    "arr_monthly": ("arr_daily", lambda raw: int_arr_monthly(stg_arr_daily(raw))),
+AGGREGATES: dict[str, tuple[str, Callable[[DataFrame, RunChecks | None], DataFrame]]] = {
+    "user_month": ("app_usage_daily", lambda raw, checks: user_month_usage(stg_usage_daily(raw), checks and checks.usage)),
+    "arr_monthly": ("arr_daily", lambda raw, checks: int_arr_monthly(stg_arr_daily(raw), checks and checks.arr)),
 }
 MANIFEST = T.StructType(
     [
@@ -98,7 +99,9 @@ def _rows_of(spark: SparkSession, schema: T.StructType, directory: str, files: D
     return rows.where((day >= months[0]) & (day <= F.last_day(F.lit(months[-1]))) & month_start("date").isin(months))
 
 
-def _refresh_one(spark: SparkSession, name: str, directory: str, root: str, schema: T.StructType, old: DataFrame) -> tuple[DataFrame, list[dt.date] | None]:
+def _refresh_one(
+    spark: SparkSession, name: str, directory: str, root: str, schema: T.StructType, old: DataFrame, checks: RunChecks | None
+) -> tuple[DataFrame, list[dt.date] | None]:
     """The manifest rows of one aggregate after its changed months are rebuilt, and those months (None: no file changed)."""
     key = ["path", "length", "time"]
     old = old.where(F.col("aggregate") == name)
@@ -128,7 +131,7 @@ def _refresh_one(spark: SparkSession, name: str, directory: str, root: str, sche
     held = []
     if first or months:
         rows = _rows_of(spark, schema, directory, files, None if first else months)
-        made = AGGREGATES[name][1](rows).hint("rebalance", "snapshot_month").sortWithinPartitions("snapshot_month")
+        made = AGGREGATES[name][1](rows, checks).hint("rebalance", "snapshot_month").sortWithinPartitions("snapshot_month")
         made.write.partitionBy("snapshot_month").parquet(f"{root}/{name}/run={run}")
         held = [d.split("=", 1)[1] for d in publish.folders(spark, f"{root}/{name}/run={run}") if d.startswith("snapshot_month=")]
     new = spark.createDataFrame([(dt.date.fromisoformat(m), run) for m in held], "month date, run string")
@@ -148,19 +151,30 @@ def _table(spark: SparkSession, name: str, root: str, manifest: DataFrame, shape
     return spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*paths).select(*shape.columns)
 
 
-def refresh(spark: SparkSession, directory: str, root: str, id_type: T.DataType = T.StringType()) -> State:
-    """Brings the state under ``root`` up to the parquet feeds ``{directory}/<feed>`` and returns it."""
+def refresh(
+    spark: SparkSession,
+    directory: str,
+    root: str,
+    id_type: T.DataType = T.StringType(),
+    checks: RunChecks | None = None,
+    strict: bool = False,
+) -> State:
+    """Brings the state under ``root`` up to the parquet feeds ``{directory}/<feed>`` and returns it.
+    ``checks`` counts repeated days in the rebuilt months; with ``strict`` any of them is an error
+    and the former state stays, so the next run finds them again."""
     directory, root = directory.rstrip("/"), root.rstrip("/")
     schemas = source_schemas(id_type)
     old = publish.latest(spark, f"{root}/manifest")
     old = _empty(spark) if old is None else old
     rows, rebuilt, shapes, changed = [], {}, {}, False
     for name, (feed, make) in AGGREGATES.items():
-        part, months = _refresh_one(spark, name, f"{directory}/{feed}", root, schemas[feed], old)
+        part, months = _refresh_one(spark, name, f"{directory}/{feed}", root, schemas[feed], old, checks)
         rows.append(part.select(*MANIFEST.names))
         changed = changed or months is not None
         rebuilt[name] = months or []
-        shapes[name] = make(spark.createDataFrame([], schemas[feed]))
+        shapes[name] = make(spark.createDataFrame([], schemas[feed]), None)
+    if strict and checks:
+        checks.require()
     if changed:
         publish.commit(rows[0].unionByName(rows[1]).coalesce(1), f"{root}/manifest")
     manifest = publish.latest(spark, f"{root}/manifest")
