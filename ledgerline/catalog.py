@@ -19,8 +19,9 @@ from ledgerline.operators.staging import Staged, staging_row_counts
 from ledgerline.plans import profile, quality, reports
 from ledgerline.plans.mart import SCORE_COLUMNS, Models, build_models, materialized_mart
 from ledgerline.rules import Rules
+from ledgerline.session import bound_tasks
 from ledgerline.sources.files import Sources
-from ledgerline.sources.testdata import inputs_key, testdata_sources
+from ledgerline.sources.testdata import inputs_key, largest_input, testdata_sources
 
 # Run date for the driver's tables (their orders end 2001-08-01).
 AS_OF = dt.date(2001, 8, 1)
@@ -35,6 +36,7 @@ class Context:
 
     @cached_property
     def src(self) -> Sources:
+        bound_tasks(self.spark, largest_input(self.spark, self.sf_dir))
         return testdata_sources(self.spark, self.sf_dir, materialized=True)
 
     @cached_property

@@ -183,6 +183,11 @@ def inputs_key(spark: SparkSession, sf_dir: str) -> str:
     return f"{sf_dir}|{key:x}"
 
 
+def largest_input(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the largest input table, from the footers of its files."""
+    return _read(spark, sf_dir, "lineitem").count()
+
+
 def testdata_sources(spark: SparkSession, sf_dir: str, materialized: bool = False) -> Sources:
     """The five sources derived from the driver's tables.
 
