@@ -35,7 +35,7 @@ from ledgerline.operators.signals import (
 from ledgerline.operators.staging import Staged, stage
 from ledgerline.plans.observed import RunChecks
 from ledgerline.rules import Rules, as_date
-from ledgerline.session import materialize
+from ledgerline.session import co_partitioned, materialize
 from ledgerline.sources.files import Sources
 
 # The 40 score columns of the mart, in output order.
@@ -171,11 +171,13 @@ def materialized_mart(src: Sources, as_of: dt.date | str, source_key: str, rules
     as_of = as_date(as_of)
     m = build_models(src)
     key = f"{source_key}|{as_of.isoformat()}|{rules!r}"
-    return materialize(
-        lifecycle_mart(m, as_of, rules),
-        "mart",
-        key,
-        partition_by="snapshot_month",
-        cluster_by=("billing_account_id",),
-        write_as=lambda: lifecycle_mart(m, as_of, rules, heavy_accounts(m.bridge)),
-    )
+    rows = lifecycle_mart(m, as_of, rules)
+    with co_partitioned(rows.sparkSession):
+        return materialize(
+            rows,
+            "mart",
+            key,
+            partition_by="snapshot_month",
+            cluster_by=("billing_account_id",),
+            write_as=lambda: lifecycle_mart(m, as_of, rules, heavy_accounts(m.bridge)),
+        )

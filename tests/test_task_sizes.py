@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import catalog, session
+from ledgerline.plans import mart
 
 SIZES = (
     "spark.sql.files.maxPartitionBytes",
@@ -74,3 +77,18 @@ def test_sizes_that_are_smaller_already_stay(spark, sizes):
 @pytest.mark.parametrize("size, n", [("64MB", 64 << 20), ("8m", 8 << 20), ("67108864b", 64 << 20), ("5", 5), ("1g", 1 << 30)])
 def test_sizes_are_read_as_spark_writes_them(size, n):
     assert session._bytes(size) == n
+
+
+def test_mart_is_written_without_dealing_accounts_out_again(spark, sizes, tmp_path, monkeypatch):
+    """Also in a session that has Spark's default for joins on more keys than the partitioning."""
+    key, seen = "spark.sql.requireAllClusterKeysForCoPartition", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(mart, "materialize", lambda df, *a, **k: seen.append(spark.conf.get(key)) or df)
+    spark.conf.set(key, "true")
+    try:
+        c = catalog.Context(spark, _tables(spark, tmp_path / "t", 40), dt.date(2001, 8, 1))
+        assert c.mart.count() > 0
+        assert spark.conf.get(key) == "true"
+    finally:
+        spark.conf.set(key, before)
+    assert seen == ["false"]
