@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import catalog, session
+from ledgerline.plans import profile
 from ledgerline.plans import mart
 
 SIZES = (
@@ -92,3 +93,52 @@ def test_mart_is_written_without_dealing_accounts_out_again(spark, sizes, tmp_pa
     finally:
         spark.conf.set(key, before)
     assert seen == ["false"]
+
+
+@pytest.fixture
+def unmerged(spark, sizes):
+    """A session whose shuffles keep the four partitions that its submitter set."""
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(
+    "query, groups",
+    [
+        ("int_usage_monthly", "app_account_id"),
+        ("usage_by_billing_month", "billing_account_id"),
+        ("adoption_by_billing_month", "billing_account_id"),
+    ],
+)
+def test_more_rows_give_more_tasks_where_partitions_are_not_merged(spark, unmerged, tmp_path, monkeypatch, query, groups):
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    out = catalog.queries()[query](spark, _tables(spark, tmp_path / "t", 5000))
+    # 20,000 rows in at least 20 partitions; in the session's four a task had a quarter of the groups
+    counts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert out.select(groups).distinct().count() > 1000
+    assert max(counts) < sum(counts) / 10
+
+
+def test_partitions_of_a_session_without_adaptive_execution_grow_too(spark, unmerged):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        session.bound_tasks(spark, 9 * session.TASK_ROWS)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+        session.bound_tasks(spark, 5 * session.TASK_ROWS)
+        assert session.shuffle_partitions(spark) == 9
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert spark.conf.get(SIZES[2], None) is None
+
+
+def test_account_months_are_in_more_tasks_where_partitions_are_not_merged(spark, unmerged, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    months = profile._raw_account_months(catalog.Context(spark, _tables(spark, tmp_path / "t", 5000)).src)
+    counts = [r["count"] for r in months.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) > 1000
+    assert max(counts) < sum(counts) / 10
