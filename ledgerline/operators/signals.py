@@ -12,6 +12,7 @@ from ledgerline.functions.activity import DAYS_WITH, flag
 from ledgerline.functions.dates import as_of_month, month_index, month_start
 from ledgerline.functions.numeric import exact_avg
 from ledgerline.rules import Rules
+from ledgerline.session import shuffle_partitions
 
 # App rows of one account that may meet in one task of the fan-out, each with all of the account's months.
 APPS_PER_SLICE = 2000
@@ -130,14 +131,15 @@ def heavy_accounts(bridge: DataFrame, apps_per_slice: int = APPS_PER_SLICE) -> d
 def _in_slices(side: DataFrame, heavy: dict, own: Column | None = None) -> DataFrame:
     """``side`` dealt out by account and slice: a row goes to the slice that its hash ``own``
     names, or to each slice of its account. Other accounts have one slice. The number of
-    partitions is given, so that slices that are small before the fan-out are not merged."""
+    partitions is given, so that slices that are small before the fan-out are not merged; it is
+    the one that shuffles start with, which grows with the tables (``session.bound_tasks``)."""
     spark = side.sparkSession
     schema = T.StructType([side.schema["billing_account_id"], T.StructField("_slices", T.IntegerType())])
     counted = side.join(F.broadcast(spark.createDataFrame(list(heavy.items()), schema)), "billing_account_id", "left")
     n = F.coalesce(F.col("_slices"), F.lit(1))
     dealt = F.explode(F.sequence(F.lit(0), n - 1)) if own is None else F.pmod(own, n).cast("int")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return counted.select(*side.columns, dealt.alias("_slice")).repartition(partitions, "billing_account_id", "_slice")
+    dealt_out = counted.select(*side.columns, dealt.alias("_slice"))
+    return dealt_out.repartition(shuffle_partitions(spark), "billing_account_id", "_slice")
 
 
 def app_fan_out(bridge: DataFrame, stg_billing: DataFrame, by_month: DataFrame, heavy: dict | None = None) -> DataFrame:

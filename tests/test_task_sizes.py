@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import catalog, session
+from ledgerline.operators import signals
 from ledgerline.plans import profile
 from ledgerline.plans import mart
 
@@ -142,3 +143,13 @@ def test_account_months_are_in_more_tasks_where_partitions_are_not_merged(spark,
     counts = [r["count"] for r in months.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(counts) > 1000
     assert max(counts) < sum(counts) / 10
+
+
+def test_slices_of_heavy_accounts_are_in_more_tasks(spark, sizes):
+    months = spark.range(2000).select(F.col("id").alias("billing_account_id"), F.lit(1).alias("snapshot_month"))
+    session.bound_tasks(spark, 16 * session.TASK_ROWS)
+    dealt = signals._in_slices(months, {7: 40})
+    counts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    # 2,039 rows in 16 partitions; in the session's four a task had 500
+    assert sum(counts) == 2039
+    assert max(counts) < 250
